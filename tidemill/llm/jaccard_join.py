@@ -9,8 +9,8 @@ A document is the set of its distinct word shingles. Two documents link when
 2. Of documents that link, the first |A| - ceil(percent * |A| / 100) + 1 shingles (the prefix)
    share one. Equal sets fold into one class first; classes with the same size and the same prefix
    fold into one group. Only groups are looked up by shingle.
-3. In a long list of groups that share a shingle each is first compared with one pivot of its
-   size band. Verified links join components; what remains are pairs of different components,
+3. Groups in a short list of those that share a shingle are compared with each other; in a long
+   list each is first compared with one pivot of its size band. Verified links join components; what remains are pairs of different components,
    which are expanded to members, filtered by size and position, and verified one by one.
    Pairs already in one component are never written out, so a group of n near copies costs n
    comparisons rather than n * n.
@@ -35,8 +35,10 @@ from tidemill.llm.textarrays import buffer_of, mix, shingles, word_hashes, word_
 
 #: Words whose counts are kept, and shingles that may be marked as frequent: both bound what is broadcast (8 bytes each).
 WORDS, FREQUENT = 1 << 16, 1 << 19
+#: Ids up to this number are broadcast (8 bytes each) to pick documents; more are joined by shuffle.
+BROADCAST = 1 << 21
 #: A shingle in more prefixes than this is frequent; a list of more groups than LONG is compared with pivots first.
-OFTEN, LONG = 24, 4
+OFTEN, LONG = 24, 8
 _HASH = np.uint64((1 << 58) - 1)
 
 
@@ -143,26 +145,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     counts = tokens.groupBy("token").agg(F.count("*").alias("groups"), F.sum("members").alias("total")).where("total > 1")
     tokens = saved(tokens.join(counts, "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)))))
 
-    # Every class that any comparison can need, with its whole set.
-    inside = classes.join(groups.where("members > 1").select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("gid", "id", "n")
-    members = saved(inside.union(groups.where("members = 1").select("gid", F.col("gid").alias("id"), "n")))
-    needed = members.join(tokens.select("gid").distinct(), "gid", "left_semi").select("id").distinct()
-    sets = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi").mapInArrow(whole, "id long, keys array<long>")
-    sets = saved(sets.dropDuplicates(["id"]))
+    members = classes.join(groups.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("gid", "id", "n")
+    members = saved(members.join(tokens.select("gid").distinct(), "gid", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
+        ids = saved(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")))
+        picked = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+        own = docs.join(picked, docs["doc_id"] == ids["id"], "left_semi")
+        sets = saved(own.mapInArrow(whole, "id long, keys array<long>"))
         one = sets.select(F.col("id").alias("a"), F.col("keys").alias("of_a"))
         two = sets.select(F.col("id").alias("b"), F.col("keys").alias("of_b"))
         same = F.size(F.array_intersect("of_a", "of_b"))
-        return pairs.join(one, "a").join(two, "b").where(100 * same >= percent * (F.size("of_a") + F.size("of_b") - same)).select("a", "b")
+        linked = pairs.join(one, "a").join(two, "b").where(100 * same >= percent * (F.size("of_a") + F.size("of_b") - same))
+        return saved(linked.select("a", "b"))
 
+    inside = members.where("gid <> id").select(F.col("id").alias("a"), F.col("gid").alias("b"))
     pivots = saved(tokens.where(F.col("groups") > LONG).groupBy("token", "band").agg(F.min(F.struct("n", "gid", "pos")).alias("pivot")))
     star = tokens.where(F.col("groups") > LONG).join(pivots, ["token", "band"])
-    star = star.where("gid <> pivot.gid").where(_may_link(percent, "n", "pos", "pivot.n", "pivot.pos"))
-    star = star.select(F.col("gid").alias("a"), F.col("pivot.gid").alias("b"))
-    star = saved(star.union(inside.where("gid <> id").select(F.col("id").alias("a"), F.col("gid").alias("b"))).distinct())
-    linked = saved(verified(star))
+    star = star.where("gid <> pivot.gid").where(_may_link(percent, "n", "pos", "pivot.n", "pivot.pos")).select(F.col("gid").alias("a"), F.col("pivot.gid").alias("b"))
+    short = tokens.where((F.col("groups") > 1) & (F.col("groups") <= LONG)).select("token", "gid", "n", "pos")
+    other = short.select("token", *(F.col(c).alias(f"{c}_o") for c in ("gid", "n", "pos")))
+    short = short.join(other, "token").where("gid > gid_o").where(_may_link(percent, "n", "pos", "n_o", "pos_o")).select(F.col("gid").alias("a"), F.col("gid_o").alias("b"))
+    tried = inside.union(star.union(short).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    tried = saved(tried.distinct())
+    linked = verified(tried)
     so_far = saved(components(linked))
 
     # What is left: pairs of different components in one list.
@@ -175,8 +182,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     others = saved(rows.join(main, "token").where("part <> main.part").select("token", *(F.col(c).alias(f"{c}_o") for c in ("id", "n", "pos", "part")), F.col("main.part").alias("main")))
     rest = rows.join(others, "token").where("part <> part_o and (part = main or id < id_o)").where(_may_link(percent, "n", "pos", "n_o", "pos_o"))
     rest = rest.select(F.greatest("id", "id_o").alias("a"), F.least("id", "id_o").alias("b")).distinct()
-    every = saved(linked.union(verified(saved(rest))))
-    final = components(every)
+    rest = saved(rest.join(tried, ["a", "b"], "left_anti"))
+    final = so_far if rest.isEmpty() else components(linked.union(verified(rest)))
 
     classes = classes.select("n", "d1", "d2", "id").join(final, F.col("id") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     out = base.select("doc_id", "n", "d1", "d2").join(saved(classes), ["n", "d1", "d2"], "left")
