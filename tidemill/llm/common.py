@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of column `name` in each hold `most` bytes, or one row."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
@@ -87,3 +88,55 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
         before = now
+
+
+def ranked(df: DataFrame, keys: list[str], hashed: str, ties: list[str], name: str = "rank", bits: int = 10) -> DataFrame:
+    """df with each row's 0-based rank among the rows of its keys, by `hashed` (a 64-bit hash) and `ties`.
+
+    A group is dealt over 2**bits buckets of the hash's first bits, so that no task gets a whole
+    hot group; a bucket's first rank is the sum of the counts of the buckets before it.
+    """
+    from pyspark.sql import Window
+
+    df = df.withColumn("_bucket", F.shiftrightunsigned(hashed, 64 - bits))
+    count = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_many"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    count = count.select(*keys, "_bucket", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(hashed, *ties)
+    out = df.join(count, [*keys, "_bucket"])
+    return out.withColumn(name, F.col("_first") + F.row_number().over(inside) - 1).drop("_bucket", "_first")
+
+
+def subset_sum(sizes: np.ndarray, counts: np.ndarray, target: int) -> np.ndarray | None:
+    """How many of each size (at most counts) sum nearest to target, or None if nothing is to be taken.
+
+    Bounded knapsack: counts are split into powers of two, and every sum keeps the first item that
+    reached it, from which the choice is read back. Sums up to target plus the largest size are kept.
+    """
+    taken = np.zeros(len(sizes), np.int64)
+    if target <= 0 or len(sizes) == 0:
+        return taken
+    most = target + int(min(sizes.max(), target))
+    reached, by, items = np.zeros(most + 1, bool), np.full(most + 1, -1, np.int32), []
+    reached[0] = True
+    for i, (size, count) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
+        k = 1
+        while count > 0 and not reached[target]:
+            k = min(k, count)
+            step = k * size
+            if step <= most:
+                new = reached[:-step] & ~reached[step:]
+                by[step:][new] = len(items)
+                reached[step:] |= new
+                items.append((i, k, step))
+            count -= k
+            k *= 2
+        if reached[target]:
+            break
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - target))])
+    while at:
+        i, k, step = items[by[at]]
+        taken[i] += k
+        at -= step
+    return taken

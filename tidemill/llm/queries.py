@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidemill.llm import jaccard_join
+from tidemill.llm import jaccard_join, mixing, packing
 
 QUERIES = {
+    "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_sequence_packing": packing.op3_sequence_packing,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
 }
 
