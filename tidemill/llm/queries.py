@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tidemill.llm import jaccard_join, mixing, packing
+from tidemill.llm import jaccard_join, mixing, packing, quality_rules
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_sequence_packing": packing.op3_sequence_packing,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.SQL,
+}
