@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemill.llm import jaccard_join, mixing, packing, quality_rules
+from tidemill.llm import jaccard_join, mixing, packing, quality_rules, substring_dedup
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_sequence_packing": packing.op3_sequence_packing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
 SQL: dict[str, str] = {
