@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import jaccard_join, mixing, packing, quality_rules, substring_dedup
+from tidemill.llm import jaccard_join, mixing, packing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {
