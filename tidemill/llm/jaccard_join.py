@@ -9,10 +9,13 @@ A document is the set of its distinct word shingles. Two documents link when
 2. Of documents that link, the first |A| - ceil(percent * |A| / 100) + 1 shingles (the prefix)
    share one. Equal sets fold into one class first; classes with the same size and the same prefix
    fold into one group. Only groups are looked up by shingle.
-3. Groups in a short list of those that share a shingle are compared with each other; in a long
-   list each is first compared with one pivot of its size band. Verified links join components; what remains are pairs of different components,
-   which are expanded to members, filtered by size and position, and verified one by one.
-   Pairs already in one component are never written out, so a group of n near copies costs n
+3. In a short list of documents that share a shingle all pairs that pass the size and position filter are
+   compared. In a long list each is compared with one pivot, the one whose prefix holds the
+   fewest shingles of its own. With pivot P, documents A and B have at most min(|A & P|, |B & P|)
+   shingles in common unless they share one that P lacks. So what is left to compare, if not yet in one
+   component, are pairs that share a shingle beyond P (among the first few of A - P and of B - P, by the
+   prefix rule for the overlap that P cannot give), and pairs for which that bound is high
+   enough. Pairs already in one component are never written out: a group of n near copies costs n
    comparisons rather than n * n.
 4. Verification intersects the whole sets in the JVM.
 
@@ -142,48 +145,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
     groups = saved(groups)
     tokens = groups.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("groups"), F.sum("members").alias("total")).where("total > 1")
-    tokens = saved(tokens.join(counts, "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)))))
-
-    members = classes.join(groups.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("gid", "id", "n")
-    members = saved(members.join(tokens.select("gid").distinct(), "gid", "left_semi"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
+    counts = tokens.groupBy("token").agg(F.sum("members").alias("total")).where("total > 1")
+    tokens = saved(tokens.join(saved(counts), "token"))
+    alone = tokens.groupBy("gid").agg((F.expr(f"max(n) - (max({percent} * n) + 99) div 100 + 1") - F.count("*")).alias("alone"))
+    members = classes.join(groups.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("gid", "id")
+    members = saved(members.join(alone, "gid"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, star) with sizes, overlap, whether they link, and for a star the first shingles of a that b lacks."""
         ids = saved(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")))
         picked = F.broadcast(ids) if ids.count() <= BROADCAST else ids
         own = docs.join(picked, docs["doc_id"] == ids["id"], "left_semi")
         sets = saved(own.mapInArrow(whole, "id long, keys array<long>"))
         one = sets.select(F.col("id").alias("a"), F.col("keys").alias("of_a"))
         two = sets.select(F.col("id").alias("b"), F.col("keys").alias("of_b"))
-        same = F.size(F.array_intersect("of_a", "of_b"))
-        linked = pairs.join(one, "a").join(two, "b").where(100 * same >= percent * (F.size("of_a") + F.size("of_b") - same))
-        return saved(linked.select("a", "b"))
-
-    inside = members.where("gid <> id").select(F.col("id").alias("a"), F.col("gid").alias("b"))
-    pivots = saved(tokens.where(F.col("groups") > LONG).groupBy("token", "band").agg(F.min(F.struct("n", "gid", "pos")).alias("pivot")))
-    star = tokens.where(F.col("groups") > LONG).join(pivots, ["token", "band"])
-    star = star.where("gid <> pivot.gid").where(_may_link(percent, "n", "pos", "pivot.n", "pivot.pos")).select(F.col("gid").alias("a"), F.col("pivot.gid").alias("b"))
-    short = tokens.where((F.col("groups") > 1) & (F.col("groups") <= LONG)).select("token", "gid", "n", "pos")
-    other = short.select("token", *(F.col(c).alias(f"{c}_o") for c in ("gid", "n", "pos")))
-    short = short.join(other, "token").where("gid > gid_o").where(_may_link(percent, "n", "pos", "n_o", "pos_o")).select(F.col("gid").alias("a"), F.col("gid_o").alias("b"))
-    tried = inside.union(star.union(short).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    tried = saved(tried.distinct())
-    linked = verified(tried)
+        out = pairs.join(one, "a").join(two, "b").select("a", "b", "star", "of_a", "of_b", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("same"))
+        need = F.greatest(F.expr(f"({percent} * n + 99) div 100") - F.col("same"), F.lit(1))
+        beyond = F.slice(F.array_except("of_a", "of_b"), F.lit(1), F.greatest(F.col("n") - F.col("same") - need + 1, F.lit(0)).cast("int"))
+        link = F.expr(f"100 * same >= {percent} * (n + m - same)")
+        return saved(out.select("a", "b", "star", "n", "m", "same", link.alias("link"), F.when(F.col("star"), beyond).alias("beyond")))
+
+    long = saved(tokens.where(F.col("total") > LONG).select("token", "gid", "n").join(members, "gid").select("token", "id", "n", "alone"))
+    pivots = saved(long.groupBy("token").agg(F.min(F.struct("alone", "n", "id")).alias("pivot")))
+    star = long.join(pivots, "token").where("id <> pivot.id").select(F.col("id").alias("a"), F.col("pivot.id").alias("b"), F.lit(1).alias("star"))
+    short = tokens.where(F.col("total") <= LONG).join(members, "gid").select("token", "id", "n", "pos")
+    other = short.select("token", *(F.col(c).alias(f"{c}_o") for c in ("id", "n", "pos")))
+    short = short.join(other, "token").where("id > id_o").where(_may_link(percent, "n", "pos", "n_o", "pos_o"))
+    pairs = star.union(short.select(F.col("id").alias("a"), F.col("id_o").alias("b"), F.lit(0).alias("star")))
+    tried = compared(saved(pairs.groupBy("a", "b").agg(F.max(F.col("star") > 0).alias("star"))))
+    linked = saved(tried.where("link").select("a", "b"))
     so_far = saved(components(linked))
 
-    # What is left: pairs of different components in one list.
-    known = members.join(so_far, members["id"] == so_far["node"], "left").select("gid", "id", "n", F.coalesce("component", "id").alias("part"))
-    known = saved(known)
-    mixed = known.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    mixed = tokens.select("token", "gid").join(mixed, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
-    rows = saved(tokens.join(saved(mixed), "token").select("token", "gid", "pos").join(known, "gid"))
-    main = rows.groupBy("token", "part").agg(F.count("*").alias("many")).groupBy("token").agg(F.max(F.struct("many", "part")).alias("main"))
-    others = saved(rows.join(main, "token").where("part <> main.part").select("token", *(F.col(c).alias(f"{c}_o") for c in ("id", "n", "pos", "part")), F.col("main.part").alias("main")))
-    rest = rows.join(others, "token").where("part <> part_o and (part = main or id < id_o)").where(_may_link(percent, "n", "pos", "n_o", "pos_o"))
-    rest = rest.select(F.greatest("id", "id_o").alias("a"), F.least("id", "id_o").alias("b")).distinct()
-    rest = saved(rest.join(tried, ["a", "b"], "left_anti"))
-    final = so_far if rest.isEmpty() else components(linked.union(verified(rest)))
+    # Of long lists the pairs of members that may link although they are not yet in one component.
+    family = tried.where("star").select(F.col("b").alias("pivot"), F.col("a").alias("id"), "n", "m", "same", "link", "beyond")
+    family = family.join(so_far, family["id"] == so_far["node"], "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
+    family = saved(family)
+    rows = family.select("pivot", "id", "n", "part", F.explode("beyond").alias("token"))
+    mixed = rows.groupBy("pivot", "token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("pivot", "token")
+    rows = saved(rows.join(saved(mixed), ["pivot", "token"]))
+    other = rows.select("pivot", "token", *(F.col(c).alias(f"{c}_o") for c in ("id", "n", "part")))
+    both = rows.join(other, ["pivot", "token"]).where(f"part <> part_o and id > id_o and 100 * least(n, n_o) >= {percent} * greatest(n, n_o)")
+    small = family.where("n < m").select("pivot", *(F.col(c).alias(f"{c}_o") for c in ("id", "n", "same", "part")))
+    less = family.where("not link").join(small, "pivot").where(f"part <> part_o and {100 + percent} * least(same, same_o) >= {percent} * (n + n_o)")
+    rest = both.select("id", "id_o").union(less.select("id", "id_o")).select(F.greatest("id", "id_o").alias("a"), F.least("id", "id_o").alias("b")).distinct()
+    rest = saved(rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti").withColumn("star", F.lit(False)))
+    final = so_far if rest.isEmpty() else components(linked.union(compared(rest).where("link").select("a", "b")))
 
     classes = classes.select("n", "d1", "d2", "id").join(final, F.col("id") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     out = base.select("doc_id", "n", "d1", "d2").join(saved(classes), ["n", "d1", "d2"], "left")
