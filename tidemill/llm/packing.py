@@ -29,9 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import column, ranked, read, saved, slices, spread, subset_sum
+from tidemill.llm.textarrays import buffer_of, word_hashes, word_spans
 
-#: Words whose ids a task remembers.
-MEMO = 400_000
+#: Words whose ids a worker remembers (20 bytes each in the table, and their ids).
+MEMO = 1 << 20
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[44, 46]] = True
 
 
 def default_tokenizer() -> str:
@@ -40,48 +45,119 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Table:
+    """A hash table from 64-bit keys to numbers, searched and filled for whole vectors at once."""
+
+    def __init__(self, most: int):
+        self.mask = np.uint64((1 << (2 * most - 1).bit_length()) - 1)
+        self.keys, self.values = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, -1 where there is none."""
+        out, at, left = np.full(len(keys), -1, np.int32), keys & self.mask, np.arange(len(keys))
+        while len(left):
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (there != 0)
+            left, at = left[on], (at[on] + np.uint64(1)) & self.mask
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not yet in the table."""
+        at = keys & self.mask
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]
+            won = free & (self.keys[at] == keys)
+            self.values[at[won]] = values[won]
+            keys, values, at = keys[~won], values[~won], (at[~won] + np.uint64(1)) & self.mask
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space: each word is encoded once."""
+    """Ids of texts by a tokenizer that lower-cases, drops white space, and never merges across it.
+
+    Words are found and hashed for a whole column at once; each is encoded when it is first met. A
+    full stop or comma between a letter and white space is a word of its own, as it is for the tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.closes[[k for word, k in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.ids, self.starts, self.sizes, self.used = {}, [], [], [], 0
-
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.at.keys())
-        if len(self.at) + len(new) > MEMO:
-            self.clear()
-            new = list(words)
-        if new:
-            found = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            for word, ids in zip(new, found, strict=True):
-                self.at[word] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(ids))
-                self.used += len(ids)
-                self.ids.extend(ids)
-        self.arrays = [np.array(x, t) for x, t in ((self.ids, np.uint32), (self.starts, np.int64), (self.sizes, np.int64))] if new else self.arrays
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.table, self.ids, self.starts, self.sizes, self.words, self.used = Table(MEMO), np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0, 0
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.words + len(keys) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[self.words : self.words + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.words : self.words + len(keys)] = sizes
+        self.table.put(keys, np.arange(self.words, self.words + len(keys), dtype=np.int32))
+        self.words, self.used = self.words + len(keys), self.used + len(ids)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        plain = np.array([w.isalpha() for w in words])
+        odd = np.flatnonzero(~plain).tolist()
+        plain = np.flatnonzero(plain)
+        for k in range(0, len(plain), 512):
+            part = plain[k : k + 512]
+            ids = np.array(self.tokenizer.encode(" ".join([words[i] for i in part.tolist()]), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids])
+            if len(ends) == len(part):  # one piece for each word
+                self._add(keys[part], ids, np.diff(ends, prepend=-1))
+            else:
+                odd += part.tolist()
+        for k in range(0, len(odd), 512):
+            part = odd[k : k + 512]
+            found = [x.ids for x in self.tokenizer.encode_batch([words[i] for i in part], add_special_tokens=False)]
+            self._add(keys[part], np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has)."""
-        words, counts = [], []
-        for text in texts:
-            own = text.encode().split() if text else []
-            words += own
-            counts.append(len(own))
-        if not words:
+        raw, offsets = buffer_of(texts)
+        starts, ends, first = word_spans(raw, offsets)
+        if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        self.learn(set(words))
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        ids, starts, sizes = self.arrays
-        size = sizes[at]
-        ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))]
-        return ids[np.repeat(starts[at], size) + spread(size)], np.diff(ends)
+        tail = ends - 1
+        one, two = raw[np.maximum(tail - 1, 0)], raw[np.maximum(tail - 2, 0)]
+        letter = _LETTER[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7) & (ends - starts > 2))
+        mark = np.flatnonzero(_MARK[raw[tail]] & (ends - starts > 1) & letter)
+        first = first + np.searchsorted(mark, first)
+        starts, ends = np.insert(starts, mark + 1, tail[mark]), np.insert(ends, mark, tail[mark])
+        keys = word_hashes(raw, starts, ends, lower=True) | np.uint64(1)
+        at = self.table.get(keys)
+        if (at < 0).any():
+            new, where = np.unique(keys[at < 0], return_index=True)
+            if self.words + len(new) > MEMO:
+                self.clear()
+                new, where = np.unique(keys, return_index=True)
+            else:
+                where = np.flatnonzero(at < 0)[where]
+            spans = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
+            data = raw.tobytes()
+            self._learn(new, [data[a:b].decode() for a, b in spans])
+            at = self.table.get(keys)
+        size = self.sizes[at].astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(size)))[first]
+        return self.ids[np.repeat(self.starts[at], size) + spread(size)], np.diff(ends)
+
+
+_KEPT: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The worker's tokenizer of that file: what it has learnt serves its later tasks too."""
+    if path not in _KEPT:
+        _KEPT[path] = WordTokenizer(path)
+    return _KEPT[path]
 
 
 def _cut(ids: np.ndarray, length: int, grain: int) -> list[tuple[int, int, int, list[int]]]:
@@ -105,9 +181,9 @@ def pieces(docs: DataFrame, tokenizer: str, closing: int, length: int, grain: in
     """(doc_id, doc_tokens, start, length, crc, parts) of all pieces of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = WordTokenizer(tokenizer)
+        own = tokenizer_of(tokenizer)
         for part in slices(batches, "text"):
-            ids, counts = own.encode(column(part, "text").to_pylist())
+            ids, counts = own.encode(column(part, "text"))
             rows, at, which, size = [], 0, [], []
             for i, n in enumerate(counts.tolist()):
                 found = _cut(np.append(ids[at : at + n], np.uint32(closing)).astype("<u4"), length, grain)
