@@ -94,14 +94,15 @@ def ranked(df: DataFrame, keys: list[str], hashed: str, ties: list[str], name: s
     """df with each row's 0-based rank among the rows of its keys, by `hashed` (a 64-bit hash) and `ties`.
 
     A group is dealt over 2**bits buckets of the hash's first bits, so that no task gets a whole
-    hot group; a bucket's first rank is the sum of the counts of the buckets before it.
+    hot group; a bucket's first rank is the sum of the counts of the buckets before it. The counts are
+    written first: a join on their window's partitions would gather whole groups again.
     """
     from pyspark.sql import Window
 
     df = df.withColumn("_bucket", F.shiftrightunsigned(hashed, 64 - bits))
     count = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_many"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    count = count.select(*keys, "_bucket", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_first"))
+    count = saved(count.select(*keys, "_bucket", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_first")))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(hashed, *ties)
     out = df.join(count, [*keys, "_bucket"])
     return out.withColumn(name, F.col("_first") + F.row_number().over(inside) - 1).drop("_bucket", "_first")
