@@ -139,16 +139,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             keys, sizes = order.value.sets(column(part, "text"))
             yield pa.record_batch({"id": column(part, "doc_id"), "keys": lists(keys.view(np.int64), sizes)})
 
-    base = saved(docs.mapInArrow(described, "doc_id long, n long, d1 long, d2 long, prefix array<long>"))
-    classes = base.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
-    classes = saved(classes.where("id is not null").withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.hash("prefix")))
-    groups = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    groups = saved(groups)
-    tokens = groups.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token"))
+    base = docs.mapInArrow(described, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    base = saved(base.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.hash("prefix")))
+    some = base.where("n > 0 and doc_id is not null")
+    classes = saved(base.where("n > 0").groupBy("n", "d1", "d2", "p1", "p2").agg(F.min("doc_id").alias("id")).where("id is not null"))
+    groups = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.count("*").alias("members"))
+    heads = some.select("n", "p1", "p2", F.col("doc_id").alias("gid"), "prefix").join(groups, ["n", "p1", "p2", "gid"]).dropDuplicates(["n", "p1", "p2", "gid"])
+    heads = saved(heads.select("gid", "n", "p1", "p2", "members", "prefix"))
+    tokens = heads.select("gid", "members", F.posexplode("prefix").alias("pos", "token"))
     counts = tokens.groupBy("token").agg(F.sum("members").alias("total")).where("total > 1")
-    tokens = saved(tokens.join(saved(counts), "token"))
+    tokens = tokens.drop("members").join(saved(counts), "token")
+    tokens = saved(tokens.join(heads.select("gid", "n"), "gid").select("token", "gid", "n", "pos", "total"))
     alone = tokens.groupBy("gid").agg((F.expr(f"max(n) - (max({percent} * n) + 99) div 100 + 1") - F.count("*")).alias("alone"))
-    members = classes.join(groups.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("gid", "id")
+    members = classes.join(heads.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("gid", "id")
     members = saved(members.join(alone, "gid"))
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -156,7 +159,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         ids = saved(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")))
         picked = F.broadcast(ids) if ids.count() <= BROADCAST else ids
         own = docs.join(picked, docs["doc_id"] == ids["id"], "left_semi")
-        sets = saved(own.mapInArrow(whole, "id long, keys array<long>"))
+        sets = own.mapInArrow(whole, "id long, keys array<long>")  # one exchange by id serves both joins
         one = sets.select(F.col("id").alias("a"), F.col("keys").alias("of_a"))
         two = sets.select(F.col("id").alias("b"), F.col("keys").alias("of_b"))
         out = pairs.join(one, "a").join(two, "b").select("a", "b", "star", "of_a", "of_b", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("same"))
@@ -196,6 +199,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest doc_id; all columns stay.
+
+    Rows with a null doc_id are kept as they are. Of rows with the same doc_id one stays.
+    """
+    found = saved(near_duplicates(docs, width, percent))
+
+    def without(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+        return rows.join(ids, rows["doc_id"] == ids["_id"], how)
+
+    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+    kept = without(docs, gone, "left_anti")
+    twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    twice = saved(twice)
+    if twice.isEmpty():
+        return kept
+    return without(kept, twice, "left_anti").union(without(kept, twice, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def _may_link(percent: int, n1: str, p1: str, n2: str, p2: str) -> str:
     """Size and position filter: the overlap that sets of n1 and n2 need, and the most they can have if they share the keys at p1 and p2."""
     size = f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})"

@@ -84,10 +84,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents that the mix takes, each row as often as it is taken (all columns kept). doc_id must be unique."""
-    plan = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_taken_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    out = docs.join(plan, docs["doc_id"] == plan["_taken_id"])
-    return out.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(out[c] for c in docs.columns))
+    """The documents that the mix takes, each row as often as it is taken (all columns kept).
+
+    doc_id tells the rows apart and must be unique; rows without one are told apart by their text.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    plan = mix(docs.select(key.alias("doc_id"), "text", "source"), **how).where("taken > 0")
+    plan = plan.select(F.col("doc_id").alias("_taken"), F.col("size").alias("_size"), F.col("taken").alias("_words"))
+    out = docs.withColumn("_key", key).join(plan, F.col("_key") == F.col("_taken"))
+    out = out.withColumn("_each", F.explode(F.sequence(F.lit(1), (F.col("_words") / F.col("_size")).cast("int"))))
+    return out.drop("_key", "_taken", "_size", "_words", "_each")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
