@@ -50,7 +50,7 @@ def prefix_length(n, percent: int):
 
 
 def _common_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", 32 << 20):
+    for part in slices(batches, "text", 8 << 20):
         raw, at = buffer_of(column(part, "text"))
         starts, ends, _ = word_spans(raw, at)
         w, c = np.unique(word_hashes(raw, starts, ends, lower=True), return_counts=True)
@@ -106,7 +106,7 @@ def _fit(docs: DataFrame, width: int, percent: int) -> ShingleOrder:
     shared = docs.sparkSession.sparkContext.broadcast(first)
 
     def seen(batches):
-        for part in slices(batches, "text", 16 << 20):
+        for part in slices(batches, "text", 6 << 20):
             keys, _ = shared.value.heads(*shared.value.sets(column(part, "text")), times=2)
             keys, n = np.unique(keys, return_counts=True)
             yield pa.record_batch({"key": keys.view(np.int64), "n": n.astype(np.int32)})
