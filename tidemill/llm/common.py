@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -42,6 +43,13 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker between two batches or tasks holds little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of column `name` in each hold `most` bytes, or one row."""
     for batch in batches:
@@ -52,6 +60,8 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES
             stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, sizes, ends
+        release()
 
 
 def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
