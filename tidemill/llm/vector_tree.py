@@ -156,8 +156,9 @@ def nearest(vectors: DataFrame, is_query: str = "id % 50 = 0", k: int = 5, vec_i
     queries = all_.where(is_query).mapInArrow(asked, "id long, v array<double>, leaves array<long>")
     sent = queries.select(F.col("id").alias("q"), F.col("v").alias("qv"), F.explode("leaves").alias("leaf"))
     whole = saved(sent.join(F.broadcast(size), "leaf").groupBy("q").agg(F.sum("members").alias("seen"), F.first("qv").alias("qv")).where(f"seen < {k + 1}").select("q", "qv"))
-    more = whole.crossJoin(F.broadcast(size.select("leaf"))) if not whole.isEmpty() else None  # a leaf a row, for the queries of empty neighbourhoods alone
-    sent = sent if more is None else sent.join(whole.select("q"), "q", "left_anti").union(more.select("q", "qv", "leaf"))
+    if not whole.isEmpty():  # queries of nearly empty neighbourhoods go to all leaves
+        more = whole.select("q", "qv", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(tree.leaf) - 1).cast("long"))).alias("leaf"))
+        sent = sent.join(whole.select("q"), "q", "left_anti").union(more)
     sent = sent.join(F.broadcast(size.select("leaf", "blocks")), "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "q", "qv")
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
