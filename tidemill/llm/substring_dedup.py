@@ -4,7 +4,7 @@ A gear hash rolls over the bytes of a text and cuts where its top bits are zero,
 last `WINDOW` bytes only and an insertion shifts no cut behind it. A chunk's 64-bit digest is looked up
 over all documents: the document with the smallest doc_id that has it owns it. In every other document
 a run of chunks that others own is removed if it has at least `min_words` words. Ends of a repeated
-passage that lie inside a chunk are found by comparing the eight words on either side of a run with
+passage that lie inside a chunk are found by comparing the sixteen words on either side of a run with
 those around the owner's chunk, through one byte of hash each.
 
 Defined results: all rows and columns are kept and only `text` changes; a null text stays null, a text
@@ -27,6 +27,9 @@ from tidemill.llm.textarrays import buffer_of, word_hashes, word_spans
 
 #: Bytes that the rolling hash sees (a power of two), its zero bits at a cut, and the least distance of cuts.
 WINDOW, BITS, LEAST = 16, 5, 16
+#: Words compared on either side of a run: sixteen, a byte each.
+NEAR = 16
+_BESIDE = ("b0", "b1", "a0", "a1")
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -62,16 +65,26 @@ class Chunks:
         self.end = np.searchsorted(self.word_ends, self.ends, "right")  # the first word that ends behind it
         low, high = self.first[self.row], self.first[self.row + 1]
         padded = np.concatenate((short, np.zeros(1, np.uint64)))
-        self.left, self.right = np.zeros(len(self.row), np.uint64), np.zeros(len(self.row), np.uint64)
-        for k in range(8):
+        self.around = np.zeros((4, len(self.row)), np.uint64)  # the words before, nearest first, in two numbers, and those after
+        for k in range(NEAR):
             a, b = self.begin - 1 - k, self.end + k
-            self.left |= np.where(a >= low, padded[np.maximum(a, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
-            self.right |= np.where(b < high, padded[np.minimum(b, len(short))], 0).astype(np.uint64) << np.uint64(8 * k)
+            shift = np.uint64(8 * (k % 8))
+            self.around[k // 8] |= np.where(a >= low, padded[np.maximum(a, 0)], 0).astype(np.uint64) << shift
+            self.around[2 + k // 8] |= np.where(b < high, padded[np.minimum(b, len(short))], 0).astype(np.uint64) << shift
+
+    def beside(self, k: int) -> tuple[int, int]:
+        """The words before and after chunk k, a byte each, as two numbers."""
+        return _joined(*(int(x) for x in self.around[:, k]))
+
+
+def _joined(a: int, b: int, c: int, d: int) -> tuple[int, int]:
+    bits = 2**64 - 1
+    return (a & bits) | (b & bits) << 64, (c & bits) | (d & bits) << 64
 
 
 def _agreeing(a: int, b: int) -> int:
     n = 0
-    while n < 8 and a & 255 and a & 255 == b & 255:
+    while n < NEAR and a & 255 and a & 255 == b & 255:
         a, b, n = a >> 8, b >> 8, n + 1
     return n
 
@@ -88,8 +101,8 @@ def _removed(c: Chunks, i: int, hits: dict[int, tuple[int, int]], min_words: int
         j = k
         while j + 1 < b and digests[j + 1 - a] in hits:
             j += 1
-        start = int(c.begin[k]) - _agreeing(int(c.left[k]), hits[digests[k - a]][0])
-        stop = int(c.end[j]) + _agreeing(int(c.right[j]), hits[digests[j - a]][1])
+        start = int(c.begin[k]) - _agreeing(c.beside(k)[0], hits[digests[k - a]][0])
+        stop = int(c.end[j]) + _agreeing(c.beside(j)[1], hits[digests[j - a]][1])
         if stop - start >= min_words:
             if words and start <= words[-1][1]:
                 words[-1] = (words[-1][0], max(stop, words[-1][1]))
@@ -100,40 +113,39 @@ def _removed(c: Chunks, i: int, hits: dict[int, tuple[int, int]], min_words: int
     return [(ends[s - low] if s > low else 0, ends[e - low]) for s, e in words]
 
 
-def deduplicated(docs: DataFrame, min_words: int = 16, spans: str | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = 32, spans: str | None = None) -> DataFrame:
     """docs with repeated passages cut out of `text`; with `spans`, also a column of that name: the ranges (start, stop) that went, in bytes of the old text."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             c = Chunks(column(part, "text"))
-            yield pa.record_batch({"digest": c.digest.view(np.int64), "id": column(part, "doc_id").take(pa.array(c.row)), "before": c.left.view(np.int64), "after": c.right.view(np.int64)})
+            yield pa.record_batch({"digest": c.digest.view(np.int64), "id": column(part, "doc_id").take(pa.array(c.row)), **dict(zip(_BESIDE, c.around.view(np.int64), strict=True))})
 
     own = docs.where("doc_id is not null").select("doc_id", "text")
-    chunks = own.mapInArrow(described, "digest long, id long, before long, after long")
+    chunks = own.mapInArrow(described, "digest long, id long, b0 long, b1 long, a0 long, a1 long")
     owners = chunks.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("digest", "owner")
     shared = saved(chunks.join(saved(owners), "digest"))
-    around = shared.where("id = owner").groupBy("digest").agg(F.min("before").alias("before"), F.max("after").alias("after"))
+    around = shared.where("id = owner").groupBy("digest").agg(F.min(F.struct(*_BESIDE)).alias("beside"))
     hits = shared.where("id > owner").select("digest", "id").distinct().join(saved(around), "digest")
-    hits = hits.groupBy("id").agg(F.collect_list("digest").alias("_digest"), F.collect_list("before").alias("_before"), F.collect_list("after").alias("_after"))
+    hits = hits.groupBy("id").agg(F.collect_list(F.struct("digest", "beside.*")).alias("_hits"))
 
     fields = docs.schema.fields
     names = [f"_c{k}" for k in range(len(fields))]
     text, key = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
     joined = docs.toDF(*names).join(hits, F.col(key) == hits["id"], "left").drop("id")
-    out = joined.drop("_digest", "_before", "_after").schema.add("_spans", T.ArrayType(T.StructType().add("start", "integer").add("stop", "integer")))
+    out = joined.drop("_hits").schema.add("_spans", T.ArrayType(T.StructType().add("start", "integer").add("stop", "integer")))
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             old = column(part, text)
-            some = np.flatnonzero(column(part, "_digest").is_valid().to_numpy(zero_copy_only=False))
+            some = np.flatnonzero(column(part, "_hits").is_valid().to_numpy(zero_copy_only=False))
             new, gone = {}, {}
             if len(some):
                 c = Chunks(old.take(pa.array(some)))
-                lists = [column(part, n) for n in ("_digest", "_before", "_after")]
+                hits = column(part, "_hits")
                 for i, at in enumerate(some.tolist()):
-                    digest, before, after = (x[at].as_py() for x in lists)
-                    hit = {d: (b & (2**64 - 1), a & (2**64 - 1)) for d, b, a in zip(digest, before, after, strict=True)}
+                    hit = {h["digest"]: _joined(*(h[x] for x in _BESIDE)) for h in hits[at].as_py()}
                     if ranges := _removed(c, i, hit, min_words):
                         raw, kept, last = bytes(c.raw[c.offsets[i] : c.offsets[i + 1]]), [], 0
                         for s, e in ranges:
