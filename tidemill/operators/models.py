@@ -164,7 +164,7 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: list[str] | None = None)
     Distinct values are dealt by size into buckets of a 1000th of the value range, so no task sorts them all.
     """
     by = by or []
-    d = df.where(finite(F.col(a)) & finite(F.col(b))).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    d = df.where(finite(F.col(a)) & finite(F.col(b))).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).persist()  # read five times
     for c in ("_a", "_b"):
         span = d.groupBy(*by).agg(F.min(c).alias("_low"), F.max(c).alias("_high"))
         join = (lambda x, y: x.join(F.broadcast(y), by)) if by else (lambda x, y: x.crossJoin(F.broadcast(y)))
