@@ -12,6 +12,7 @@ import os
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,6 +100,38 @@ class Registry:
         if locked := sorted(self.held_out() & set(dates)):
             raise Refused(f"held out: {locked}")
 
+    def declare_holdout(self, dates: list[str], reason: str, dry_run: bool = False) -> list[str]:
+        """Locks the dates and the day before each, whose labels read them; returns what is, or would be, locked."""
+        days = {date.fromisoformat(d) for d in dates}
+        locked = sorted(d.isoformat() for d in days | {d - timedelta(days=1) for d in days})
+        if not dry_run:
+            self.hold_out(locked, reason)
+        return locked
+
+    def issue_errata(self, name: str, cells: list[dict], of: str) -> str:
+        """A hash-named list of cells (etime, decision_seq) whose label is not to be used; only zeros that became null may be listed."""
+        if bad := [c for c in cells if c.get("shape") != "zero_to_null"]:
+            raise Refused(f"cells of another shape: {bad[:3]}")
+        body = {"of": of, "cells": sorted(cells, key=lambda c: (c["etime"], c["decision_seq"]))}
+        write_new(self.root / "errata" / name / f"{body_id(body)}.json", json.dumps(body))
+        return body_id(body)
+
+    def errata(self, name: str, errata_id: str) -> list[dict]:
+        body = json.loads((self.root / "errata" / name / f"{errata_id}.json").read_text())
+        if body_id(body) != errata_id:
+            raise Refused(f"errata {errata_id} does not hash to its name")
+        return body["cells"]
+
+    def quarantine(self, dataset: str, date_: str, root: str, reason: str) -> dict:
+        """Moves a date's partition into the lockbox tier and issues its manifest there; the old manifest can no longer be loaded."""
+        body = self.of_date(dataset, date_)
+        entries = [p for p in body["partitions"] if p["date"] == date_]
+        moved = [p | {"path": "lockbox/" + p["path"].split("/", 1)[1]} for p in entries]
+        for old, new in zip(entries, moved, strict=True):
+            os.makedirs(os.path.dirname(f"{root}/{new['path']}"), exist_ok=True)
+            os.rename(f"{root}/{old['path']}", f"{root}/{new['path']}")
+        return self.issue(f"{dataset}-lockbox", "lockbox", body["schema_version"], [body["manifest_id"], reason], moved, body["code"])
+
     def acknowledge(self, dataset: str, date: str, findings: list[str], by: str) -> None:
         write_new(self.root / "acknowledged" / dataset / f"{date}.json", json.dumps({"findings": sorted(findings), "by": by, "at": self.clock()}))
 

@@ -30,7 +30,7 @@ def ofi_of(b: Column, bq: Column, a: Column, aq: Column, b0: Column, bq0: Column
 def scanned(merged: DataFrame, window: int = SECOND) -> DataFrame:
     """Every event with the state after it. State starts anew each day, so a day is one partition by meaning.
 
-    All windows share one sort by (day, etime, source_rank, seq). flow and the counts of the trailing window
+    One exchange by day serves all windows; those but the lag inside a stream share one sort. flow and the counts of the trailing window
     (t - window, t] are exact for each event: the running sum less the sum up to t - window.
     """
     w = within("day", ["etime", "source_rank", "seq"])
@@ -39,7 +39,7 @@ def scanned(merged: DataFrame, window: int = SECOND) -> DataFrame:
     is_quote = F.col("source_rank") == 0
     signed = F.coalesce(scaled(F.col("trade_qty")) * F.col("trade_side").cast("long"), F.lit(0).cast("long"))
     lag = lambda c: F.lag(c).over(own)
-    d = merged.withColumn("_signed", signed).withColumn("_trade", (~is_quote).cast("long"))
+    d = merged.repartition("day").withColumn("_signed", signed).withColumn("_trade", (~is_quote).cast("long"))
     d = d.withColumn("_ofi", F.when(is_quote, ofi_of(*map(F.col, ("bid_price", "bid_qty", "ask_price", "ask_qty")), *map(lag, ("bid_price", "bid_qty", "ask_price", "ask_qty")))))
     past = Window.partitionBy("day").orderBy("etime").rangeBetween(Window.unboundedPreceding, -window)
     last = lambda c: F.last(c, ignorenulls=True).over(now)

@@ -23,24 +23,36 @@ def big_gaps(quotes: DataFrame, threshold: int) -> DataFrame:
     return out.where(F.col("etime") - F.col("gap_start") > threshold).select("gap_start", F.col("etime").alias("gap_end"))
 
 
-def labels(decisions: DataFrame, quotes: DataFrame, horizon: int, gap_threshold: int) -> DataFrame:
-    """decisions with `label` and `reason` for one horizon.
+def labels_of(decisions: DataFrame, quotes: DataFrame, horizons: dict[str, int], gap_threshold: int) -> DataFrame:
+    """decisions with a struct (label, reason) for each horizon by its name.
 
     The quote that stands at t + horizon is the last at or before it. Quotes may reach into the
-    next day. A gap that ends at t or starts at t + horizon does not count.
+    next day. A gap that ends at t or starts at t + horizon does not count. The probes of all horizons are
+    looked up at once: two lookups, however many horizons there are.
     """
     mids = quote_mids(quotes).withColumn("quote_time", F.col("etime"))
     end = mids.agg(F.max("etime").alias("_end"))
-    probes = decisions.withColumn("_t", F.col("etime")).withColumn("etime", F.col("etime") + horizon)
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(h).cast("long").alias("h")) for n, h in horizons.items())))
+    probes = decisions.select(F.struct(*decisions.columns).alias("_row"), F.col("etime").alias("_t"), "mid", each.alias("_h"))
+    probes = probes.select("_row", "_t", "mid", F.col("_h.name").alias("_name"), (F.col("_t") + F.col("_h.h")).alias("etime"))
     found = asof(probes, mids.select("etime", "seq", "quote_mid", "quote_time"), "etime", ["quote_mid", "quote_time"], DAY)
     gaps = big_gaps(quotes, gap_threshold).select(F.col("gap_start").alias("etime"), F.col("gap_end").alias("seq"), "gap_end")
     found = asof(found, gaps, "etime", ["gap_end"], DAY, strict=True).crossJoin(F.broadcast(end))  # one row
     t = F.col("_t")
     reason = F.when(F.col("mid").isNull() | F.col("quote_mid").isNull(), REASONS[0]).when(F.col("etime") > F.col("_end"), REASONS[1])
     reason = reason.when(F.coalesce(F.col("gap_end") > t, F.lit(False)), REASONS[2]).when(F.col("quote_time") <= t, REASONS[3])
-    out = found.withColumn("reason", reason)
-    label = F.when(F.col("reason").isNull(), F.when(F.col("mid") > 0, (F.col("quote_mid") - F.col("mid")) / F.col("mid")).otherwise(F.raise_error(F.lit("mid must be positive")).cast("double")))
-    return out.withColumn("label", label).withColumn("etime", t).select(*decisions.columns, "label", "reason")
+    out = found.withColumn("_reason", reason)
+    label = F.when(F.col("_reason").isNull(), F.when(F.col("mid") > 0, (F.col("quote_mid") - F.col("mid")) / F.col("mid")).otherwise(F.raise_error(F.lit("mid must be positive")).cast("double")))
+    out = out.select("_row", "_t", "_name", F.struct(label.alias("label"), F.col("_reason").alias("reason")).alias("_s"))
+    if len(horizons) == 1:
+        return out.select("_row.*", F.col("_s").alias(next(iter(horizons))))
+    out = out.groupBy("_t").agg(F.first("_row").alias("_row"), *(F.first(F.when(F.col("_name") == n, F.col("_s")), ignorenulls=True).alias(f"_{k}") for k, n in enumerate(horizons)))
+    return out.select("_row.*", *(F.col(f"_{k}").alias(n) for k, n in enumerate(horizons)))
+
+
+def labels(decisions: DataFrame, quotes: DataFrame, horizon: int, gap_threshold: int) -> DataFrame:
+    """decisions with `label` and `reason` for one horizon."""
+    return labels_of(decisions, quotes, {"_label": horizon}, gap_threshold).select(*decisions.columns, "_label.label", "_label.reason")
 
 
 def label_stats(labelled: DataFrame) -> DataFrame:

@@ -133,6 +133,12 @@ def verdict(report_: DataFrame) -> DataFrame:
     return worst.select("day", "stream", F.when(F.col("w") == 0, "missing").otherwise(F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("w") + 1).cast("int"))).alias("verdict"))
 
 
+def write_report(report_: DataFrame, path: str) -> str:
+    """Writes a report as Parquet by day and returns it as Markdown (a row a check and day)."""
+    report_.write.partitionBy("day").mode("overwrite").parquet(path)
+    return markdown(report_.orderBy("day", "stream", "check").collect())
+
+
 def markdown(rows: list) -> str:
     """A report's rows as a table; bars in cells are escaped."""
     names = ("day", "stream", "check", "status", "value", "count", "detail")

@@ -21,6 +21,12 @@ def frames(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFram
     return spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", files_at_once).json(path)
 
 
+def archive(frames_: DataFrame, path: str, checkpoint: str, trigger: dict[str, Any] | None = None) -> StreamingQuery:
+    """Writes frames as they came, as compressed JSON lines by UTC day and connection, before anything else is done with them."""
+    out = frames_.withColumn("date", date_string(F.col("rtime")))
+    return out.writeStream.format("json").partitionBy("date", "conn_id").option("path", path).option("compression", "gzip").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+
+
 def deduplicated(rows: DataFrame, key: list[str], ttl: str = "120 seconds") -> DataFrame:
     """The first delivery of each key, remembered until the watermark (the most recent receive time less ttl) has passed it."""
     stamped = rows.withColumn("_at", F.timestamp_micros((F.col("rtime") / 1000).cast("long")))
