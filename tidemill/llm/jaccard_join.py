@@ -50,7 +50,7 @@ def prefix_length(n, percent: int):
 
 
 def _common_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", 8 << 20):
+    for part in slices(batches, "text", 4 << 20):
         raw, at = buffer_of(column(part, "text"))
         starts, ends, _ = word_spans(raw, at)
         w, c = np.unique(word_hashes(raw, starts, ends, lower=True), return_counts=True)
@@ -93,7 +93,7 @@ class ShingleOrder:
         new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
         return keys[new], np.bincount(row[new], minlength=len(counts))
 
-    def heads(self, keys: np.ndarray, sizes: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
+    def heads(self, keys: np.ndarray, sizes: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """The first keys of each row, `times` prefixes long."""
         most = np.where(sizes > 0, np.minimum(sizes, times * prefix_length(sizes, self.percent)), 0)
         return keys[np.repeat(np.cumsum(sizes) - sizes, most) + spread(most)], most
@@ -106,7 +106,7 @@ def _fit(docs: DataFrame, width: int, percent: int) -> ShingleOrder:
     shared = docs.sparkSession.sparkContext.broadcast(first)
 
     def seen(batches):
-        for part in slices(batches, "text", 6 << 20):
+        for part in slices(batches, "text", 4 << 20):
             keys, _ = shared.value.heads(*shared.value.sets(column(part, "text")), times=2)
             keys, n = np.unique(keys, return_counts=True)
             yield pa.record_batch({"key": keys.view(np.int64), "n": n.astype(np.int32)})
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def described(batches):
         for part in slices(batches, "text"):
             keys, sizes = order.value.sets(column(part, "text"))
-            head, most = order.value.heads(keys, sizes, times=1)
+            head, most = order.value.heads(keys, sizes)
             ends = np.cumsum(sizes)
             digest = []
             for salt in (1, 2):
@@ -143,15 +143,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     base = saved(base.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.hash("prefix")))
     some = base.where("n > 0 and doc_id is not null")
     classes = saved(base.where("n > 0").groupBy("n", "d1", "d2", "p1", "p2").agg(F.min("doc_id").alias("id")).where("id is not null"))
-    groups = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.count("*").alias("members"))
-    heads = some.select("n", "p1", "p2", F.col("doc_id").alias("gid"), "prefix").join(groups, ["n", "p1", "p2", "gid"]).dropDuplicates(["n", "p1", "p2", "gid"])
-    heads = saved(heads.select("gid", "n", "p1", "p2", "members", "prefix"))
+    groups = saved(classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.count("*").alias("members")))
+    picked = F.broadcast(groups) if groups.count() <= BROADCAST // 4 else groups  # four numbers a row
+    heads = some.select("n", "p1", "p2", F.col("doc_id").alias("gid"), "prefix").join(picked, ["n", "p1", "p2", "gid"])
     tokens = heads.select("gid", "members", F.posexplode("prefix").alias("pos", "token"))
     counts = tokens.groupBy("token").agg(F.sum("members").alias("total")).where("total > 1")
     tokens = tokens.drop("members").join(saved(counts), "token")
-    tokens = saved(tokens.join(heads.select("gid", "n"), "gid").select("token", "gid", "n", "pos", "total"))
+    tokens = saved(tokens.join(groups.select("gid", "n").distinct(), "gid").select("token", "gid", "n", "pos", "total"))
     alone = tokens.groupBy("gid").agg((F.expr(f"max(n) - (max({percent} * n) + 99) div 100 + 1") - F.count("*")).alias("alone"))
-    members = classes.join(heads.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("gid", "id")
+    members = classes.join(groups.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("gid", "id")
     members = saved(members.join(alone, "gid"))
 
     def compared(pairs: DataFrame) -> DataFrame:
