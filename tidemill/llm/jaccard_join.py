@@ -43,6 +43,8 @@ BROADCAST = 1 << 21
 #: A shingle in more prefixes than this is frequent; a list of more groups than LONG is compared with pivots first.
 OFTEN, LONG = 24, 8
 _HASH = np.uint64((1 << 58) - 1)
+#: The bits of a key by which frequent shingles are counted and marked: a shorter key takes less of the shuffle.
+_SHORT = np.uint64((1 << 40) - 1)
 
 
 def prefix_length(n, percent: int):
@@ -84,8 +86,9 @@ class ShingleOrder:
         common = np.minimum(common * np.uint64(3) // np.uint64(2 * self.width), np.uint64(31)).astype(np.uint64)
         keys = (keys & _HASH) | (common << np.uint64(58))
         if len(self.frequent) and len(keys):
-            at = np.minimum(np.searchsorted(self.frequent, keys), len(self.frequent) - 1)
-            keys = np.where(self.frequent[at] == keys, keys | np.uint64(1 << 63), keys)
+            short = keys & _SHORT
+            at = np.minimum(np.searchsorted(self.frequent, short), len(self.frequent) - 1)
+            keys = np.where(self.frequent[at] == short, keys | np.uint64(1 << 63), keys)
         order = np.argsort(keys)
         order = order[np.argsort(row[order].astype(np.uint16) if len(counts) < 65536 else row[order], kind="stable")]
         keys, row = keys[order], row[order]
@@ -108,7 +111,7 @@ def _fit(docs: DataFrame, width: int, percent: int) -> ShingleOrder:
     def seen(batches):
         for part in slices(batches, "text", 4 << 20):
             keys, _ = shared.value.heads(*shared.value.sets(column(part, "text")), times=2)
-            keys, n = np.unique(keys, return_counts=True)
+            keys, n = np.unique(keys & _SHORT, return_counts=True)
             yield pa.record_batch({"key": keys.view(np.int64), "n": n.astype(np.int32)})
 
     keys = docs.select("text").mapInArrow(seen, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
