@@ -32,8 +32,6 @@ from tidemill.llm.textarrays import buffer_of, word_hashes, word_spans
 #: Classes and tokens of a class; of all tokens, the last SHARED are shared by hashed words.
 CLASSES, SHARED = 32, 128
 SIZE = CLASSES * CLASSES
-#: Words that one counting slice passes on must occur this often in it.
-SEEN = 2
 
 
 class Network:
@@ -138,8 +136,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
             raw, at = buffer_of(column(part, "text"))
             starts, ends, _ = word_spans(raw, at)
             w, n = np.unique(word_hashes(raw, starts, ends, lower=True), return_counts=True)
-            some = n >= (SEEN if len(w) > 10_000 else 1)
-            yield pa.record_batch({"word": w[some].view(np.int64), "n": n[some].astype(np.int64)})
+            yield pa.record_batch({"word": w.view(np.int64), "n": n.astype(np.int64)})
 
     words = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = words.orderBy(F.desc("n"), "word").limit(SIZE - SHARED).toArrow()
