@@ -3,10 +3,13 @@
 Every token is predicted from the tokens on both sides of it: `side` to the left and `side` to the right,
 each through an embedding table of its place; their sum passes a tanh and two softmax layers, first over
 classes of tokens, then over the tokens of the class, so a conditional probability is exact and costs
-twice the square root of the vocabulary. A document's score is the sum of the log-probabilities of its tokens.
+twice the square root of the vocabulary.
 
-The vocabulary is the most frequent words of all documents (A-Z lower-cased), counted over the whole
-table; other words share hashed tokens, and one token pads the ends of a text. Training is stochastic
+The network's tokens are the most frequent words of all documents (A-Z lower-cased), counted over the whole
+table; other words share hashed tokens, and one token pads the ends of a text. The probability of a word that shares
+a token is the token's times the word's share of all words of that token, by their counts, so every word of the
+corpus has a probability of its own and they sum to one. A document's score is the sum of the log-probabilities of its
+words. The counts grow with the corpus and meet the documents' words in a join by word. Training is stochastic
 gradient descent (Adagrad) in numpy on every task's own texts, all tokens of the table once: in each round
 every task starts from the same weights and takes its next share of the slices of texts, and the weights
 are averaged by tokens in Spark. What is gathered is one set of weights a task and round, summed per
@@ -26,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import column, read, slices
+from tidemill.llm.common import column, lists, read, saved, slices
 from tidemill.llm.textarrays import buffer_of, word_hashes, word_spans
 
-#: Classes and tokens of a class; of all tokens, the last SHARED are shared by hashed words.
+#: Classes and tokens of a class; of all tokens, the last SHARED (a power of two) are shared by hashed words.
 CLASSES, SHARED = 32, 128
 SIZE = CLASSES * CLASSES
 
@@ -109,6 +112,10 @@ class Vocabulary:
 
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(token of every word of all texts, each text's first word)."""
+        return self.hashed(texts)[1:]
+
+    def hashed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of every word of all texts, its token, each text's first word)."""
         raw, offsets = buffer_of(texts)
         starts, ends, first = word_spans(raw, offsets)
         words = word_hashes(raw, starts, ends, lower=True)
@@ -116,7 +123,7 @@ class Vocabulary:
         if len(self.words) and len(words):
             at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
             out = np.where(self.words[at] == words, self.ids[at], out)
-        return out, first
+        return words, out, first
 
 
 def around(tokens: np.ndarray, first: np.ndarray, side: int) -> np.ndarray:
@@ -130,7 +137,9 @@ def around(tokens: np.ndarray, first: np.ndarray, side: int) -> np.ndarray:
     return np.array(out)
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
+def counted(docs: DataFrame) -> DataFrame:
+    """(word, n) for the hash of every word of docs."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 16 << 20):
             raw, at = buffer_of(column(part, "text"))
@@ -138,8 +147,11 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
             w, n = np.unique(word_hashes(raw, starts, ends, lower=True), return_counts=True)
             yield pa.record_batch({"word": w.view(np.int64), "n": n.astype(np.int64)})
 
-    words = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(SIZE - SHARED).toArrow()
+    return saved(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    top = (counted(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(SIZE - SHARED).toArrow()
     return Vocabulary(top["word"].to_numpy().view(np.uint64))
 
 
@@ -174,28 +186,48 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = 2, batch: int = 4096
     return net
 
 
-def scored(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, mean_log_prob) for every row of docs (doc_id, text)."""
-    shared, side, width = docs.sparkSession.sparkContext.broadcast((words, net.weights)), net.side, net.width
+def scored(docs: DataFrame, words: Vocabulary, net: Network, counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, mean_log_prob) for every row of docs (doc_id, text): of its words by their `counts`, or else of its tokens."""
+    own = np.zeros(SIZE)
+    if counts is not None:
+        others = counts.where(~F.col("word").isin(words.words.view(np.int64).tolist()))
+        many = others.groupBy(F.col("word").bitwiseAND(F.lit(SHARED - 1)).alias("at")).agg(F.sum("n").alias("n")).toArrow()
+        own[SIZE - SHARED + many["at"].to_numpy()] = -np.log(many["n"].to_numpy())
+    shared, side, width = docs.sparkSession.sparkContext.broadcast((words, net.weights, own)), net.side, net.width
+    listed = counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = shared.value
-        own = Network(side, width)
-        own.load(weights)
+        words, weights, own = shared.value
+        model = Network(side, width)
+        model.load(weights)
         for part in slices(batches, "text", 1 << 20):
-            tokens, first = words.tokens(column(part, "text"))
+            hashes, tokens, first = words.hashed(column(part, "text"))
             near, logs = around(tokens, first, side), [np.zeros(1)]
             for k in range(0, len(tokens), 16384):
-                logs.append(own.log_probs(near[:, k : k + 16384], tokens[k : k + 16384]))
+                some = tokens[k : k + 16384]
+                logs.append(model.log_probs(near[:, k : k + 16384], some) + own[some])
             total = np.cumsum(np.concatenate(logs))
             n, sums = np.diff(first), total[first[1:]] - total[first[:-1]]
-            mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-            yield pa.record_batch({"doc_id": column(part, "doc_id"), "n_tokens": n.astype(np.int64), "log_prob": np.where(n > 0, sums, 0.0), "mean_log_prob": mean})
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+            out = {"row": column(part, "row"), "doc_id": column(part, "doc_id"), "n_tokens": n.astype(np.int64), "log_prob": np.where(n > 0, sums, 0.0)}
+            if listed:
+                other = np.flatnonzero(tokens >= SIZE - SHARED)
+                out["words"] = lists(hashes[other].view(np.int64), np.diff(np.searchsorted(other, first)))
+            yield pa.record_batch(out)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = rows.mapInArrow(run, "row long, doc_id long, n_tokens long, log_prob double" + (", words array<long>" if listed else ""))
+    total = F.col("log_prob")
+    if listed:  # a word met once has log n = 0
+        rows = saved(rows)
+        found = rows.select("row", F.explode("words").alias("word")).join(others.where("n > 1").hint("shuffle_hash"), "word")
+        rows = rows.drop("words").join(found.groupBy("row").agg(F.sum(F.log("n")).alias("counts")), "row", "left")
+        total = total + F.coalesce("counts", F.lit(0.0))
+    rows = rows.select("doc_id", "n_tokens", total.alias("log_prob"))
+    return rows.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    words = vocabulary(docs)
-    return scored(docs, words, train(docs, words))
+    counts = counted(docs)
+    words = vocabulary(docs, counts)
+    return scored(docs, words, train(docs, words), counts)
