@@ -1,7 +1,8 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the bytes of a text and cuts where its top bits are zero, so cuts depend on the
-last `WINDOW` bytes only and an insertion shifts no cut behind it. A chunk's 64-bit digest is looked up
+A gear hash of the last `WINDOW` bytes rolls over a text and cuts where its top bits are zero, and where it is least
+among `SPAN` places in a row without such a cut. Cuts thus depend on the bytes around them only, so an insertion shifts
+none that is far behind it, and a chunk has at most `SPAN` + `LEAST` bytes, but for the ends of a text. A chunk's 64-bit digest is looked up
 over all documents: the document with the smallest doc_id that has it owns it. In every other document
 a run of chunks that others own is removed if it has at least `min_words` words. Ends of a repeated
 passage that lie inside a chunk are found by comparing the sixteen words on either side of a run with
@@ -25,14 +26,22 @@ from pyspark.sql import types as T
 from tidemill.llm.common import column, read, saved, slices
 from tidemill.llm.textarrays import buffer_of, word_hashes, word_spans
 
-#: Bytes that the rolling hash sees (a power of two), its zero bits at a cut, and the least distance of cuts.
-WINDOW, BITS, LEAST = 16, 5, 16
+#: Bytes that the rolling hash sees (a power of two), its zero bits at a cut, the least distance of cuts (WINDOW at least), and the places in a row (a power of two) of which one is a cut.
+WINDOW, BITS, LEAST, SPAN = 16, 5, 16, 64
 #: Words compared on either side of a run: sixteen, a byte each.
 NEAR = 16
 _BESIDE = ("b0", "b1", "a0", "a1")
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 
 
+def _every(least_or_most: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
+    """least_or_most of the `span` numbers (a power of two) from each place on."""
+    step = 1
+    while step < span:
+        x, step = least_or_most(x[:-step], x[step:]), step * 2
+    return x
+
+
 def cuts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of the chunks of all texts."""
     h = _GEAR[raw]
@@ -41,13 +50,27 @@ def cuts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         more = h.copy()
         more[step:] += h[:-step] << np.uint32(step)
         h, step = more, step * 2
-    at = np.flatnonzero(h >> np.uint32(32 - BITS) == 0) + 1
-    apart = np.ones(len(at), bool)
-    apart[1:] = np.diff(at) >= LEAST
-    at = at[apart]
-    begin = offsets[np.searchsorted(offsets, at - 1, "right") - 1]
-    at = at[at - begin >= LEAST]
-    edges = np.unique(np.concatenate((offsets, at)))
+    n, begins = len(raw), offsets[:-1]
+    early = np.zeros(n + 1, np.int32)  # places whose hash would see bytes before their text, or that are too near its start
+    np.add.at(early, begins, 1)
+    np.add.at(early, np.minimum(begins + LEAST - 1, offsets[1:]), -1)
+    early = np.cumsum(early[:-1]) > 0
+    h[early] = 2**32 - 1
+    chosen = h >> np.uint32(32 - BITS) == 0
+    if n >= SPAN:
+        low = _every(np.minimum, h, SPAN)  # the least of the places k to k + SPAN - 1
+        across = np.zeros(len(low) + 1, np.int32)  # spans that reach over the end of a text
+        np.add.at(across, np.maximum(offsets[1:-1] - SPAN + 1, 0), 1)
+        np.add.at(across, np.minimum(offsets[1:-1], len(low)), -1)
+        low[(np.cumsum(across[:-1]) > 0) | early[: len(low)]] = 0
+        around = np.concatenate((np.zeros(SPAN - 1, np.uint32), low, np.zeros(SPAN - 1, np.uint32)))
+        chosen |= (_every(np.maximum, around, SPAN) == h) & ~early  # the least of one of the spans it is in
+    at, last = [], -LEAST
+    for k in (np.flatnonzero(chosen) + 1).tolist():
+        if k - last >= LEAST:
+            at.append(k)
+            last = k
+    edges = np.unique(np.concatenate((offsets, np.array(at, np.int64))))
     starts = edges[:-1]
     return starts, edges[1:], np.searchsorted(offsets, starts, "right") - 1
 
