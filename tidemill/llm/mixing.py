@@ -66,6 +66,11 @@ def fit(sizes: np.ndarray, counts: np.ndarray, total: int, target: float, repeat
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, repeats: int = 3, seed: int = 11) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs (doc_id, text, source)."""
     sized = saved(docs.select("doc_id", "source", n_words("text").alias("size")))
+    return _planned(sized, ["doc_id"], weights, share, repeats, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _planned(sized: DataFrame, ties: list[str], weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, repeats: int = 3, seed: int = 11) -> DataFrame:
+    """The rows of `sized` (doc_id, source, size and others; a saved table) with source_size, target and taken; `ties` order rows of one doc_id."""
     aim = saved(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats))
     a = aim.withColumnRenamed("source", "source_")
     sized = sized.join(a, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
@@ -78,22 +83,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
     plan = saved(count.groupBy("at").applyInPandas(fitted, "at int, size long, times int, extra long"))
     sized = sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
-    rows = ranked(sized, ["at", "size"], "h", ["doc_id"]).join(plan, ["at", "size"], "left")
+    rows = ranked(sized, ["at", "size"], "h", ties).join(plan, ["at", "size"], "left")
     taken = F.coalesce(F.col("size") * (F.col("times") + (F.col("rank") < F.col("extra")).cast("int")), F.lit(0)).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return rows.withColumn("taken", taken)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents that the mix takes, each row as often as it is taken (all columns kept).
 
-    doc_id tells the rows apart and must be unique; rows without one are told apart by their text.
+    Every row is planned on its own and carried through the plan, so rows with one doc_id, or copies without one, are
+    taken as often as each of them is planned. Rows without a doc_id are ordered by their text.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    plan = mix(docs.select(key.alias("doc_id"), "text", "source"), **how).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_taken"), F.col("size").alias("_size"), F.col("taken").alias("_words"))
-    out = docs.withColumn("_key", key).join(plan, F.col("_key") == F.col("_taken"))
-    out = out.withColumn("_each", F.explode(F.sequence(F.lit(1), (F.col("_words") / F.col("_size")).cast("int"))))
-    return out.drop("_key", "_taken", "_size", "_words", "_each")
+    rows = docs.select(key.alias("doc_id"), "source", n_words("text").alias("size"), F.xxhash64("text").alias("tie"), F.struct(*docs.columns).alias("row"))
+    taken = _planned(saved(rows), ["doc_id", "tie"], **how).where("taken > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select("row.*")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
