@@ -41,6 +41,15 @@ def test_periodic_passages_go(spark, period):
     assert len(got[1]) - 80 < 50 and got[1][:30] == own[1][0][:30] and got[1][-30:] == own[1][1][-30:]
 
 
+def test_a_long_stretch_goes_although_a_shorter_one_comes_first(spark):
+    rng = random.Random(12)
+    own = [(words(rng, 40), words(rng, 40)) for _ in range(4)]
+    got = cleaned(spark, [[*a, *["de"] * n, *b] for (a, b), n in zip(own, (20, 150, 150, 90), strict=True)])
+    assert len(got[0]) == 100 and len(got[1]) - 80 >= 118
+    assert len(got[2]) - 80 < 16 and len(got[3]) - 80 < 16
+    assert got[2][:40] == own[2][0] and got[3][-40:] == own[3][1]
+
+
 def test_chunks_are_bounded_and_do_not_hang_on_their_neighbours(odd_texts):
     rng = random.Random(7)
     texts = [(t or "").encode() for t in odd_texts] + [" ".join(words(rng, rng.randrange(0, 90))).encode() for _ in range(300)]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm.common import column, lists, read, saved, slices, spread
-from tidemill.llm.textarrays import buffer_of, word_hashes, word_spans
+from tidemill.llm.textarrays import buffer_of, mix, word_hashes, word_spans
 
 #: Bytes that the rolling hash sees (a power of two), its zero bits at a cut, the least distance of cuts (WINDOW at least), and the places in a row (a power of two) of which one is a cut.
 WINDOW, BITS, LEAST, SPAN = 16, 5, 16, 64
@@ -107,11 +107,20 @@ class Words:
         return np.where(there, self.hashes[np.where(there, word, 0)] if len(self.hashes) else np.uint64(0), np.uint64(0)), there
 
 
+def _numbered(digest: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The digests, where equal chunks follow each other with their number in a row: a long stretch of one word has owners as long."""
+    here = np.arange(len(digest))
+    fresh = np.ones(len(digest), bool)
+    fresh[1:] = (digest[1:] != digest[:-1]) | (row[1:] != row[:-1])
+    nth = (here - np.maximum.accumulate(np.where(fresh, here, 0))).astype(np.uint64)
+    return np.where(fresh, digest, mix(digest + nth * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         raw, offsets, above = places(column(part, "text"))
         starts, ends, row = cuts(raw, offsets)
-        digest = word_hashes(raw, starts, ends).view(np.int64)
+        digest = _numbered(word_hashes(raw, starts, ends), row).view(np.int64)
         yield pa.record_batch({"digest": digest, "id": column(part, "doc_id").take(pa.array(row)), "at": above[row] + starts - offsets[row], "size": (ends - starts).astype(np.int32)})
 
 
