@@ -74,3 +74,58 @@ def test_one_document_of_each_group_stays(docs, corpus):
     ids = sorted(r["doc_id"] for r in kept.where("doc_id is not null").select("doc_id").collect())
     assert ids == sorted({c for _, _, c in brute([(r[0], r[1]) for r in corpus], 5, 80)})
     assert kept.where("doc_id is null").count() == 2
+
+
+def test_rows_of_one_doc_id_join_their_components(spark):
+    rng = random.Random(3)
+    x, y, z = (text(rng, 30) for _ in range(3))
+    rows = [(3, x), (5, x), (5, y), (9, y), (11, z), (11, None), (12, "")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11), (11, 11), (12, 12)]
+
+
+def templates(n, seed=1):
+    """Documents of 20 of 30 shared sentences, in the same order."""
+    rng = random.Random(seed)
+    sentences = [text(rng, 20) for _ in range(30)]
+    return [(i, " ".join(sentences[k] for k in sorted(rng.sample(range(30), 20)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_templates_are_not_paired_with_each_other(spark, monkeypatch, width, percent):
+    """Documents that share much and do not link: pairs that are verified grow with the documents, not with their square."""
+    many = {}
+    for n in (150, 300):
+        written, before = [], j.saved
+        with monkeypatch.context() as m:
+            m.setattr(j, "saved", lambda d: (written.append(before(d)), written[-1])[1])
+            rows = templates(n)
+            got = j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()
+        assert sorted(map(tuple, got)) == brute(rows, width, percent)
+        many[n] = sum(d.count() for d in written if d.columns == ["a", "b", "star"])
+    assert many[300] < 3 * many[150] and many[300] < 30 * 300
+
+
+def test_sketches_differ_in_no_more_parts_than_sets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    b = np.concatenate((a[:480], rng.integers(0, 2**63, 25, dtype=np.uint64)))
+    x, y = (np.array(v, np.int64).view(np.uint64) for v in j.sketches(np.concatenate((a, b)), np.array([500, 505])).to_pylist())
+    assert 20 < np.bitwise_count(x ^ y).sum() <= 45
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(j, "SALTED", 5)
+    monkeypatch.setattr(j, "LONG", 3)
+    rng = random.Random(7)
+    base = text(rng, 60).split()
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = "edit" + str(rng.randrange(30))
+        rows.append((i, " ".join(w)))
+    got = j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 3, 80)

@@ -8,19 +8,21 @@ A document is the set of its distinct word shingles. Two documents link when
    documents' prefixes go last. The order decides speed only; any order gives the same links.
 2. Of documents that link, the first |A| - ceil(percent * |A| / 100) + 1 shingles (the prefix)
    share one. Equal sets fold into one class first; classes with the same size and the same prefix
-   fold into one group. Only groups are looked up by shingle.
-3. In a short list of documents that share a shingle all pairs that pass the size and position filter are
-   compared. In a long list each is compared with one pivot, the one whose prefix holds the
-   fewest shingles of its own. With pivot P, documents A and B have at most min(|A & P|, |B & P|)
-   shingles in common unless they share one that P lacks. So what is left to compare, if not yet in one
-   component, are pairs that share a shingle beyond P (among the first few of A - P and of B - P, by the
-   prefix rule for the overlap that P cannot give), and pairs for which that bound is high
-   enough. Pairs already in one component are never written out: a group of n near copies costs n
-   comparisons rather than n * n.
-4. Verification intersects the whole sets in the JVM.
+   fold into one group, and only groups are looked up by shingle.
+3. In a short list of groups that share a shingle, pairs of groups that pass the size and position filter stay.
+   In a long list each group is paired with one pivot, the one whose prefix holds the fewest shingles of its
+   own. Only pairs of groups that are left are expanded: into pairs of members, or into members and the
+   pivot's first member. Members are verified by the intersection of their whole sets, in the JVM.
+4. With pivot P, documents A and B have at most min(|A & P|, |B & P|) shingles in common unless they share
+   one that P lacks. So what is left to compare, if not yet in one component, are pairs that share a shingle beyond P
+   (among the first few of A - P and of B - P, by the prefix rule for the overlap that P cannot give), and
+   pairs for which that bound is high enough. Of these, only pairs stay whose sketches allow a link: a sketch holds the
+   parity of the set's shingles in each of `PARTS` parts, and parts of different parity are shingles that only one has, so
+   no link is lost. Pairs already in one component are never written out, nor are pairs of templates that share much
+   and do not link: a group of n near copies costs n comparisons rather than n * n.
 
 Defined results: a null or wordless text has n_shingles 0 and is its own component. Rows with
-the same doc_id count as one document (their classes join). A row with a null doc_id takes the component of a
+the same doc_id count as one document: their components join. A row with a null doc_id takes the component of a
 row with an equal set, or null if there is none. Other columns are ignored.
 """
 
@@ -38,10 +40,12 @@ from tidemill.llm.textarrays import buffer_of, mix, shingles, word_hashes, word_
 
 #: Words whose counts are kept, and shingles that may be marked as frequent: both bound what is broadcast (8 bytes each).
 WORDS, FREQUENT = 1 << 16, 1 << 19
-#: Ids up to this number are broadcast (8 bytes each) to pick documents; more are joined by shuffle.
-BROADCAST = 1 << 21
-#: A shingle in more prefixes than this is frequent; a list of more groups than LONG is compared with pivots first.
+#: Rows of numbers up to so many bytes are broadcast to pick documents; more are joined by shuffle.
+BROADCAST = 16 << 20
+#: A shingle in more prefixes than this is frequent; a list of more documents than LONG is compared with pivots first.
 OFTEN, LONG = 24, 8
+#: Parts of a sketch (a bit each), and the rows of one pivot and shingle that one task compares with all others of it.
+PARTS, SALTED = 1024, 4096
 _HASH = np.uint64((1 << 58) - 1)
 #: The bits of a key by which frequent shingles are counted and marked: a shorter key takes less of the shuffle.
 _SHORT = np.uint64((1 << 40) - 1)
@@ -119,6 +123,18 @@ def _fit(docs: DataFrame, width: int, percent: int) -> ShingleOrder:
     return ShingleOrder(width, percent, first.words, np.exp2(first.level.astype(float)), np.sort(keys["key"].to_numpy().view(np.uint64)))
 
 
+def sketches(keys: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Per row the parity of its keys in each of PARTS parts, as a list of 64-bit numbers."""
+    part = np.repeat(np.arange(len(sizes)), sizes) * PARTS + (mix(keys) & np.uint64(PARTS - 1)).astype(np.int64)
+    odd = (np.bincount(part, minlength=len(sizes) * PARTS) & 1).astype(bool)
+    return lists(np.packbits(odd, bitorder="little").view(np.int64), np.full(len(sizes), PARTS // 64))
+
+
+def picked(rows: DataFrame) -> DataFrame:
+    """rows (of numbers alone; a saved table) with a broadcast hint if they are at most BROADCAST bytes."""
+    return F.broadcast(rows) if rows.count() * 8 * len(rows.columns) <= BROADCAST else rows
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -140,66 +156,88 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def whole(batches):
         for part in slices(batches, "text"):
             keys, sizes = order.value.sets(column(part, "text"))
-            yield pa.record_batch({"id": column(part, "doc_id"), "keys": lists(keys.view(np.int64), sizes)})
+            yield pa.record_batch({"id": column(part, "doc_id"), "keys": lists(keys.view(np.int64), sizes), "bits": sketches(keys, sizes)})
 
     base = docs.mapInArrow(described, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
     base = saved(base.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.hash("prefix")))
     some = base.where("n > 0 and doc_id is not null")
     classes = saved(base.where("n > 0").groupBy("n", "d1", "d2", "p1", "p2").agg(F.min("doc_id").alias("id")).where("id is not null"))
     groups = saved(classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.count("*").alias("members")))
-    picked = F.broadcast(groups) if groups.count() <= BROADCAST // 4 else groups  # four numbers a row
-    heads = some.select("n", "p1", "p2", F.col("doc_id").alias("gid"), "prefix").join(picked, ["n", "p1", "p2", "gid"])
-    tokens = heads.select("gid", "members", F.posexplode("prefix").alias("pos", "token"))
+    members = classes.join(groups.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("gid", "id").distinct()
+    members = saved(members)
+
+    # Lists of groups by the shingles of their prefixes.
+    heads = some.select("n", "p1", "p2", F.col("doc_id").alias("gid"), "prefix").join(picked(groups), ["n", "p1", "p2", "gid"])
+    tokens = heads.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token"))
     counts = tokens.groupBy("token").agg(F.sum("members").alias("total")).where("total > 1")
-    tokens = tokens.drop("members").join(saved(counts), "token")
-    tokens = saved(tokens.join(groups.select("gid", "n").distinct(), "gid").select("token", "gid", "n", "pos", "total"))
+    tokens = saved(tokens.drop("members").join(saved(counts), "token"))
     alone = tokens.groupBy("gid").agg((F.expr(f"max(n) - (max({percent} * n) + 99) div 100 + 1") - F.count("*")).alias("alone"))
-    members = classes.join(groups.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("gid", "id")
-    members = saved(members.join(alone, "gid"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, star) with sizes, overlap, whether they link, and for a star the first shingles of a that b lacks."""
+        """pairs (a, b, star) with sizes, overlap, whether they link, and for a star the first shingles of a that b lacks and a's sketch."""
         ids = saved(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")))
-        picked = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-        own = docs.join(picked, docs["doc_id"] == ids["id"], "left_semi")
-        sets = own.mapInArrow(whole, "id long, keys array<long>")  # one exchange by id serves both joins
-        one = sets.select(F.col("id").alias("a"), F.col("keys").alias("of_a"))
+        own = docs.join(picked(ids), docs["doc_id"] == ids["id"], "left_semi")
+        sets = own.mapInArrow(whole, "id long, keys array<long>, bits array<long>")  # one exchange by id serves both joins
+        one = sets.select(F.col("id").alias("a"), F.col("keys").alias("of_a"), "bits")
         two = sets.select(F.col("id").alias("b"), F.col("keys").alias("of_b"))
-        out = pairs.join(one, "a").join(two, "b").select("a", "b", "star", "of_a", "of_b", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("same"))
+        out = pairs.join(one, "a").join(two, "b").select("a", "b", "star", "of_a", "of_b", "bits", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("same"))
         need = F.greatest(F.expr(f"({percent} * n + 99) div 100") - F.col("same"), F.lit(1))
         beyond = F.slice(F.array_except("of_a", "of_b"), F.lit(1), F.greatest(F.col("n") - F.col("same") - need + 1, F.lit(0)).cast("int"))
         link = F.expr(f"100 * same >= {percent} * (n + m - same)")
-        return saved(out.select("a", "b", "star", "n", "m", "same", link.alias("link"), F.when(F.col("star"), beyond).alias("beyond")))
-
-    long = saved(tokens.where(F.col("total") > LONG).select("token", "gid", "n").join(members, "gid").select("token", "id", "n", "alone"))
-    pivots = saved(long.groupBy("token").agg(F.min(F.struct("alone", "n", "id")).alias("pivot")))
-    star = long.join(pivots, "token").where("id <> pivot.id").select(F.col("id").alias("a"), F.col("pivot.id").alias("b"), F.lit(1).alias("star"))
-    short = tokens.where(F.col("total") <= LONG).join(members, "gid").select("token", "id", "n", "pos")
-    other = short.select("token", *(F.col(c).alias(f"{c}_o") for c in ("id", "n", "pos")))
-    short = short.join(other, "token").where("id > id_o").where(_may_link(percent, "n", "pos", "n_o", "pos_o"))
-    pairs = star.union(short.select(F.col("id").alias("a"), F.col("id_o").alias("b"), F.lit(0).alias("star")))
+        return saved(out.select("a", "b", "star", "n", "m", "same", link.alias("link"), F.when(F.col("star"), beyond).alias("beyond"), F.when(F.col("star"), F.col("bits")).alias("bits")))
+
+    # Pairs of groups that the filters leave, then their members.
+    short = tokens.where(F.col("total") <= LONG).select("token", "gid", "n", "pos")
+    other = short.select("token", *(F.col(c).alias(f"{c}_o") for c in ("gid", "n", "pos")))
+    near = short.join(other, "token").where("gid > gid_o").where(_may_link(percent, "n", "pos", "n_o", "pos_o")).select("gid", "gid_o")
+    twins = groups.where(f"members > 1 and members <= {LONG} and {100 + percent} * (n - 1) >= {2 * percent} * n")
+    near = saved(near.union(twins.select("gid", F.col("gid").alias("gid_o"))).distinct())
+    long = saved(tokens.where(F.col("total") > LONG).select("token", "gid", "n"))
+    pivots = long.join(saved(alone), "gid").groupBy("token").agg(F.min(F.struct("alone", "n", "gid")).alias("pivot"))
+    star = saved(long.join(saved(pivots), "token").select("gid", F.col("pivot.gid").alias("pivot")).distinct())
+    star = star.join(members, "gid").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), F.lit(1).alias("star"))
+    other = members.select(F.col("gid").alias("gid_o"), F.col("id").alias("id_o"))
+    inner = near.join(members, "gid").join(other, "gid_o").where("id <> id_o and (gid <> gid_o or id > id_o)")
+    pairs = star.union(inner.select(F.greatest("id", "id_o").alias("a"), F.least("id", "id_o").alias("b"), F.lit(0).alias("star")))
     tried = compared(saved(pairs.groupBy("a", "b").agg(F.max(F.col("star") > 0).alias("star"))))
     linked = saved(tried.where("link").select("a", "b"))
     so_far = saved(components(linked))
 
     # Of long lists the pairs of members that may link although they are not yet in one component.
-    family = tried.where("star").select(F.col("b").alias("pivot"), F.col("a").alias("id"), "n", "m", "same", "link", "beyond")
+    family = tried.where("star").select(F.col("b").alias("pivot"), F.col("a").alias("id"), "n", "m", "same", "link", "beyond", "bits")
     family = family.join(so_far, family["id"] == so_far["node"], "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
     family = saved(family)
-    rows = family.select("pivot", "id", "n", "part", F.explode("beyond").alias("token"))
-    mixed = rows.groupBy("pivot", "token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("pivot", "token")
+    rows = family.select("pivot", "id", "n", "part", "bits", F.explode("beyond").alias("token"))
+    mixed = rows.groupBy("pivot", "token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("many")).where("low <> high").select("pivot", "token", "many")
     rows = saved(rows.join(saved(mixed), ["pivot", "token"]))
-    other = rows.select("pivot", "token", *(F.col(c).alias(f"{c}_o") for c in ("id", "n", "part")))
-    both = rows.join(other, ["pivot", "token"]).where(f"part <> part_o and id > id_o and 100 * least(n, n_o) >= {percent} * greatest(n, n_o)")
-    small = family.where("n < m").select("pivot", *(F.col(c).alias(f"{c}_o") for c in ("id", "n", "same", "part")))
-    less = family.where("not link").join(small, "pivot").where(f"part <> part_o and {100 + percent} * least(same, same_o) >= {percent} * (n + n_o)")
+    both = _salted(rows, rows, ["pivot", "token"], ("id", "n", "part", "bits")).where(f"id > id_o and {_may_differ(percent)}")
+    small = family.where("n < m").select("pivot", "id", "n", "same", "part", "bits")
+    counted = saved(small.groupBy("pivot").agg(F.count("*").alias("many")))
+    lone = family.where("not link").join(counted, "pivot")
+    less = _salted(lone, small.join(counted, "pivot"), ["pivot"], ("id", "n", "same", "part", "bits")).where(f"id <> id_o and {100 + percent} * least(same, same_o) >= {percent} * (n + n_o) and {_may_differ(percent)}")
     rest = both.select("id", "id_o").union(less.select("id", "id_o")).select(F.greatest("id", "id_o").alias("a"), F.least("id", "id_o").alias("b")).distinct()
     rest = saved(rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti").withColumn("star", F.lit(False)))
     final = so_far if rest.isEmpty() else components(linked.union(compared(rest).where("link").select("a", "b")))
 
     classes = classes.select("n", "d1", "d2", "id").join(final, F.col("id") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     out = base.select("doc_id", "n", "d1", "d2").join(saved(classes), ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = saved(out.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
+    # A doc_id whose rows are in several components joins them.
+    several = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    several = saved(several.select("doc_id", "low"))
+    if not several.isEmpty():
+        joins = out.join(several, "doc_id").select(F.col("component").alias("a"), F.col("low").alias("b"))
+        roots = saved(components(joins))
+        out = out.join(roots, out["component"] == roots["node"], "left").select("doc_id", "n", F.coalesce(roots["component"], out["component"]).alias("component"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _salted(left: DataFrame, right: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """left joined with right (its `columns` named with _o) on the keys; `many`, the rows of a key, says over how many tasks the left side of a hot key is dealt."""
+    salts = F.ceil(F.col("many") / SALTED).cast("int")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    right = right.select(*keys, *(F.col(c).alias(f"{c}_o") for c in columns), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return left.join(right, [*keys, "salt"])
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -210,8 +248,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     found = saved(near_duplicates(docs, width, percent))
 
     def without(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-        return rows.join(ids, rows["doc_id"] == ids["_id"], how)
+        return rows.join(picked(ids), rows["doc_id"] == ids["_id"], how)
 
     gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
     kept = without(docs, gone, "left_anti")
@@ -222,6 +259,13 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return without(kept, twice, "left_anti").union(without(kept, twice, "left_semi").dropDuplicates(["doc_id"]))
 
 
+def _may_differ(percent: int) -> str:
+    """Parts not in one component yet, sizes that can link, and sketches that differ in no more parts than sets that link can."""
+    differ = " + ".join(f"bit_count(bits[{k}] ^ bits_o[{k}])" for k in range(PARTS // 64))
+    most = f"n + n_o - 2 * (({percent} * (n + n_o) + {99 + percent}) div {100 + percent})"
+    return f"part <> part_o and 100 * least(n, n_o) >= {percent} * greatest(n, n_o) and {differ} <= {most}"
+
+
 def _may_link(percent: int, n1: str, p1: str, n2: str, p2: str) -> str:
     """Size and position filter: the overlap that sets of n1 and n2 need, and the most they can have if they share the keys at p1 and p2."""
     size = f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})"
