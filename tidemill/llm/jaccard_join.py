@@ -123,11 +123,11 @@ def _fit(docs: DataFrame, width: int, percent: int) -> ShingleOrder:
     return ShingleOrder(width, percent, first.words, np.exp2(first.level.astype(float)), np.sort(keys["key"].to_numpy().view(np.uint64)))
 
 
-def sketches(keys: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Per row the parity of its keys in each of PARTS parts, as a list of 64-bit numbers."""
+def sketches(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per row the parity of its keys in each of PARTS parts, as 64-bit numbers."""
     part = np.repeat(np.arange(len(sizes)), sizes) * PARTS + (mix(keys) & np.uint64(PARTS - 1)).astype(np.int64)
     odd = (np.bincount(part, minlength=len(sizes) * PARTS) & 1).astype(bool)
-    return lists(np.packbits(odd, bitorder="little").view(np.int64), np.full(len(sizes), PARTS // 64))
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(sizes), PARTS // 64)
 
 
 def picked(rows: DataFrame) -> DataFrame:
@@ -156,7 +156,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def whole(batches):
         for part in slices(batches, "text"):
             keys, sizes = order.value.sets(column(part, "text"))
-            yield pa.record_batch({"id": column(part, "doc_id"), "keys": lists(keys.view(np.int64), sizes), "bits": sketches(keys, sizes)})
+            first = sketches(keys, sizes)  # then the keys, in one list
+            both = np.insert(keys.view(np.int64), np.repeat(np.cumsum(sizes) - sizes, first.shape[1]), first.ravel())
+            yield pa.record_batch({"id": column(part, "doc_id"), "listed": lists(both, sizes + first.shape[1])})
 
     base = docs.mapInArrow(described, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
     base = saved(base.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.hash("prefix")))
@@ -177,10 +179,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         """pairs (a, b, star) with sizes, overlap, whether they link, and for a star the first shingles of a that b lacks and a's sketch."""
         ids = saved(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")))
         own = docs.join(picked(ids), docs["doc_id"] == ids["id"], "left_semi")
-        sets = own.mapInArrow(whole, "id long, keys array<long>, bits array<long>")  # one exchange by id serves both joins
-        one = sets.select(F.col("id").alias("a"), F.col("keys").alias("of_a"), "bits")
-        two = sets.select(F.col("id").alias("b"), F.col("keys").alias("of_b"))
-        out = pairs.join(one, "a").join(two, "b").select("a", "b", "star", "of_a", "of_b", "bits", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("same"))
+        sets = own.mapInArrow(whole, "id long, listed array<long>")  # one exchange by id serves both joins
+        one, two = sets.select(F.col("id").alias("a"), F.col("listed").alias("l_a")), sets.select(F.col("id").alias("b"), F.col("listed").alias("l_b"))
+        keys = lambda c: F.slice(c, PARTS // 64 + 1, F.size(c))
+        out = pairs.join(one, "a").join(two, "b").select("a", "b", "star", keys("l_a").alias("of_a"), keys("l_b").alias("of_b"), F.slice("l_a", 1, PARTS // 64).alias("bits"))
+        out = out.select("*", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("same"))
         need = F.greatest(F.expr(f"({percent} * n + 99) div 100") - F.col("same"), F.lit(1))
         beyond = F.slice(F.array_except("of_a", "of_b"), F.lit(1), F.greatest(F.col("n") - F.col("same") - need + 1, F.lit(0)).cast("int"))
         link = F.expr(f"100 * same >= {percent} * (n + m - same)")
