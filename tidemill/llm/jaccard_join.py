@@ -9,17 +9,16 @@ A document is the set of its distinct word shingles. Two documents link when
 2. Of documents that link, the first |A| - ceil(percent * |A| / 100) + 1 shingles (the prefix)
    share one. Equal sets fold into one class first; classes with the same size and the same prefix
    fold into one group, and only groups are looked up by shingle.
-3. In a short list of groups that share a shingle, pairs of groups that pass the size and position filter stay.
-   In a long list each group is paired with one pivot, the one whose prefix holds the fewest shingles of its
-   own. Only pairs of groups that are left are expanded: into pairs of members, or into members and the
-   pivot's first member. Members are verified by the intersection of their whole sets, in the JVM.
-4. With pivot P, documents A and B have at most min(|A & P|, |B & P|) shingles in common unless they share
-   one that P lacks. So what is left to compare, if not yet in one component, are pairs that share a shingle beyond P
-   (among the first few of A - P and of B - P, by the prefix rule for the overlap that P cannot give), and
-   pairs for which that bound is high enough. Of these, only pairs stay whose sketches allow a link: a sketch holds the
-   parity of the set's shingles in each of `PARTS` parts, and parts of different parity are shingles that only one has, so
-   no link is lost. Pairs already in one component are never written out, nor are pairs of templates that share much
-   and do not link: a group of n near copies costs n comparisons rather than n * n.
+3. In a short list of groups that share a shingle all pairs of groups are formed; in a long list each group is
+   paired with one pivot, the one whose prefix holds the fewest shingles of its own. Only pairs of groups that pass the size and
+   position filter are expanded, into pairs of members, or into members and the pivot's first member.
+4. Of the members' pairs, those stay whose sketches allow a link. A sketch holds the parity of the set's shingles in each
+   of `PARTS` parts; a part of different parity has a shingle that only one of two sets has, so no link is
+   lost. What is left is verified by the intersection of the whole sets, in the JVM.
+5. Links with pivots give first components. Of a long list whose members are in several, those outside its
+   largest component are held against the others of the list by size, position and sketch, and what passes is verified.
+   Pairs in one component are never written out, nor are pairs of templates that share much and do not link: a
+   group of n near copies costs n verifications rather than n * n.
 
 Defined results: a null or wordless text has n_shingles 0 and is its own component. Rows with
 the same doc_id count as one document: their components join. A row with a null doc_id takes the component of a
@@ -151,16 +150,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             for salt in (1, 2):
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(keys + np.uint64(salt)), dtype=np.uint64)))
                 digest.append((total[ends] - total[ends - sizes]).view(np.int64))
-            yield pa.record_batch({"doc_id": column(part, "doc_id"), "n": sizes.astype(np.int64), "d1": digest[0], "d2": digest[1], "prefix": lists(head.view(np.int64), most)})
+            listed = lists(sketches(keys, sizes).ravel(), np.full(len(sizes), PARTS // 64))
+            yield pa.record_batch({"doc_id": column(part, "doc_id"), "n": sizes.astype(np.int64), "d1": digest[0], "d2": digest[1], "prefix": lists(head.view(np.int64), most), "bits": listed})
 
     def whole(batches):
         for part in slices(batches, "text"):
             keys, sizes = order.value.sets(column(part, "text"))
-            first = sketches(keys, sizes)  # then the keys, in one list
-            both = np.insert(keys.view(np.int64), np.repeat(np.cumsum(sizes) - sizes, first.shape[1]), first.ravel())
-            yield pa.record_batch({"id": column(part, "doc_id"), "listed": lists(both, sizes + first.shape[1])})
+            yield pa.record_batch({"id": column(part, "doc_id"), "keys": lists(keys.view(np.int64), sizes)})
 
-    base = docs.mapInArrow(described, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    base = docs.mapInArrow(described, "doc_id long, n long, d1 long, d2 long, prefix array<long>, bits array<long>")
     base = saved(base.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.hash("prefix")))
     some = base.where("n > 0 and doc_id is not null")
     classes = saved(base.where("n > 0").groupBy("n", "d1", "d2", "p1", "p2").agg(F.min("doc_id").alias("id")).where("id is not null"))
@@ -175,52 +173,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tokens = saved(tokens.drop("members").join(saved(counts), "token"))
     alone = tokens.groupBy("gid").agg((F.expr(f"max(n) - (max({percent} * n) + 99) div 100 + 1") - F.count("*")).alias("alone"))
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, star) with sizes, overlap, whether they link, and for a star the first shingles of a that b lacks and a's sketch."""
+    of_group = tokens.select("gid").distinct()
+    members = saved(members.join(of_group, "gid").join(some.select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id", "n", "bits"]), "id"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole sets link."""
         ids = saved(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")))
         own = docs.join(picked(ids), docs["doc_id"] == ids["id"], "left_semi")
-        sets = own.mapInArrow(whole, "id long, listed array<long>")  # one exchange by id serves both joins
-        one, two = sets.select(F.col("id").alias("a"), F.col("listed").alias("l_a")), sets.select(F.col("id").alias("b"), F.col("listed").alias("l_b"))
-        keys = lambda c: F.slice(c, PARTS // 64 + 1, F.size(c))
-        out = pairs.join(one, "a").join(two, "b").select("a", "b", "star", keys("l_a").alias("of_a"), keys("l_b").alias("of_b"), F.slice("l_a", 1, PARTS // 64).alias("bits"))
-        out = out.select("*", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("same"))
-        need = F.greatest(F.expr(f"({percent} * n + 99) div 100") - F.col("same"), F.lit(1))
-        beyond = F.slice(F.array_except("of_a", "of_b"), F.lit(1), F.greatest(F.col("n") - F.col("same") - need + 1, F.lit(0)).cast("int"))
-        link = F.expr(f"100 * same >= {percent} * (n + m - same)")
-        return saved(out.select("a", "b", "star", "n", "m", "same", link.alias("link"), F.when(F.col("star"), beyond).alias("beyond"), F.when(F.col("star"), F.col("bits")).alias("bits")))
+        sets = own.mapInArrow(whole, "id long, keys array<long>")  # one exchange by id serves both joins
+        one, two = sets.select(F.col("id").alias("a"), F.col("keys").alias("of_a")), sets.select(F.col("id").alias("b"), F.col("keys").alias("of_b"))
+        out = pairs.join(one, "a").join(two, "b")
+        out = out.select("a", "b", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("same"))
+        return saved(out.where(f"100 * same >= {percent} * (n + m - same)").select("a", "b"))
 
     # Pairs of groups that the filters leave, then their members.
+    fits = _may_link(percent, "n", "pos", "n_o", "pos_o")
     short = tokens.where(F.col("total") <= LONG).select("token", "gid", "n", "pos")
-    other = short.select("token", *(F.col(c).alias(f"{c}_o") for c in ("gid", "n", "pos")))
-    near = short.join(other, "token").where("gid > gid_o").where(_may_link(percent, "n", "pos", "n_o", "pos_o")).select("gid", "gid_o")
+    near = short.join(_other(short, "gid", "n", "pos"), "token").where("gid > gid_o").where(fits)
     twins = groups.where(f"members > 1 and members <= {LONG} and {100 + percent} * (n - 1) >= {2 * percent} * n")
-    near = saved(near.union(twins.select("gid", F.col("gid").alias("gid_o"))).distinct())
-    long = saved(tokens.where(F.col("total") > LONG).select("token", "gid", "n"))
-    pivots = long.join(saved(alone), "gid").groupBy("token").agg(F.min(F.struct("alone", "n", "gid")).alias("pivot"))
-    star = saved(long.join(saved(pivots), "token").select("gid", F.col("pivot.gid").alias("pivot")).distinct())
-    star = star.join(members, "gid").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), F.lit(1).alias("star"))
-    other = members.select(F.col("gid").alias("gid_o"), F.col("id").alias("id_o"))
-    inner = near.join(members, "gid").join(other, "gid_o").where("id <> id_o and (gid <> gid_o or id > id_o)")
-    pairs = star.union(inner.select(F.greatest("id", "id_o").alias("a"), F.least("id", "id_o").alias("b"), F.lit(0).alias("star")))
-    tried = compared(saved(pairs.groupBy("a", "b").agg(F.max(F.col("star") > 0).alias("star"))))
-    linked = saved(tried.where("link").select("a", "b"))
-    so_far = saved(components(linked))
+    near = near.select("gid", "gid_o").union(twins.select("gid", F.col("gid").alias("gid_o")))
+    long = saved(tokens.where(F.col("total") > LONG).select("token", "gid", "n", "pos"))
+    pivots = long.join(saved(alone), "gid").groupBy("token").agg(F.min(F.struct("alone", "n", "gid", "pos")).alias("pivot"))
+    star = long.join(saved(pivots.select("token", F.col("pivot.gid").alias("gid_o"), F.col("pivot.n").alias("n_o"), F.col("pivot.pos").alias("pos_o"))), "token").where(fits)
+    pairs = saved(near.select("gid", "gid_o", F.lit(0).alias("star")).union(star.select("gid", "gid_o", F.lit(1).alias("star"))).groupBy("gid", "gid_o").agg(F.max("star").alias("star")))
+    other = members.select(F.col("gid").alias("gid_o"), *(F.col(c).alias(f"{c}_o") for c in ("id", "n", "bits")))
+    inner = pairs.join(members, "gid").join(other, "gid_o").where("id <> id_o and (if(star = 1, id_o = gid_o, gid <> gid_o or id > id_o))").where(_may_differ(percent))
+    tried = saved(inner.select(F.greatest("id", "id_o").alias("a"), F.least("id", "id_o").alias("b")).distinct())
+    links = linked(tried)
+    so_far = saved(components(links))
 
     # Of long lists the pairs of members that may link although they are not yet in one component.
-    family = tried.where("star").select(F.col("b").alias("pivot"), F.col("a").alias("id"), "n", "m", "same", "link", "beyond", "bits")
-    family = family.join(so_far, family["id"] == so_far["node"], "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
-    family = saved(family)
-    rows = family.select("pivot", "id", "n", "part", "bits", F.explode("beyond").alias("token"))
-    mixed = rows.groupBy("pivot", "token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("many")).where("low <> high").select("pivot", "token", "many")
-    rows = saved(rows.join(saved(mixed), ["pivot", "token"]))
-    both = _salted(rows, rows, ["pivot", "token"], ("id", "n", "part", "bits")).where(f"id > id_o and {_may_differ(percent)}")
-    small = family.where("n < m").select("pivot", "id", "n", "same", "part", "bits")
-    counted = saved(small.groupBy("pivot").agg(F.count("*").alias("many")))
-    lone = family.where("not link").join(counted, "pivot")
-    less = _salted(lone, small.join(counted, "pivot"), ["pivot"], ("id", "n", "same", "part", "bits")).where(f"id <> id_o and {100 + percent} * least(same, same_o) >= {percent} * (n + n_o) and {_may_differ(percent)}")
-    rest = both.select("id", "id_o").union(less.select("id", "id_o")).select(F.greatest("id", "id_o").alias("a"), F.least("id", "id_o").alias("b")).distinct()
-    rest = saved(rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti").withColumn("star", F.lit(False)))
-    final = so_far if rest.isEmpty() else components(linked.union(compared(rest).where("link").select("a", "b")))
+    rows = long.join(members.select("gid", "id"), "gid").join(so_far, F.col("id") == F.col("node"), "left")
+    rows = saved(rows.select("token", "id", "n", "pos", F.coalesce("component", "id").alias("part")))
+    parts = rows.groupBy("token", "part").agg(F.count("*").alias("many")).groupBy("token")
+    parts = parts.agg(F.sum("many").alias("many"), F.max(F.struct("many", "part")).alias("most"), F.count("*").alias("parts"))
+    parts = saved(parts.where("parts > 1").select("token", "many", F.col("most.part").alias("main")))
+    rows = saved(rows.join(parts, "token").join(members.select("id", "n", "bits"), ["id", "n"]))
+    lone = rows.where("part <> main")
+    rest = _salted(lone, rows, ["token"], ("id", "n", "pos", "part", "bits"))
+    rest = rest.where("part <> part_o and (part_o = main or id > id_o)").where(fits).where(_may_differ(percent))
+    rest = rest.select(F.greatest("id", "id_o").alias("a"), F.least("id", "id_o").alias("b")).distinct()
+    rest = saved(rest.join(tried, ["a", "b"], "left_anti"))
+    final = so_far if rest.isEmpty() else components(links.union(linked(rest)))
 
     classes = classes.select("n", "d1", "d2", "id").join(final, F.col("id") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     out = base.select("doc_id", "n", "d1", "d2").join(saved(classes), ["n", "d1", "d2"], "left")
@@ -235,6 +229,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def _other(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("token", *(F.col(c).alias(f"{c}_o") for c in columns))
+
+
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
     """left joined with right (its `columns` named with _o) on the keys; `many`, the rows of a key, says over how many tasks the left side of a hot key is dealt."""
     salts = F.ceil(F.col("many") / SALTED).cast("int")
@@ -263,10 +261,10 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def _may_differ(percent: int) -> str:
-    """Parts not in one component yet, sizes that can link, and sketches that differ in no more parts than sets that link can."""
+    """Whether sketches differ in no more parts than sets of these sizes that link can."""
     differ = " + ".join(f"bit_count(bits[{k}] ^ bits_o[{k}])" for k in range(PARTS // 64))
     most = f"n + n_o - 2 * (({percent} * (n + n_o) + {99 + percent}) div {100 + percent})"
-    return f"part <> part_o and 100 * least(n, n_o) >= {percent} * greatest(n, n_o) and {differ} <= {most}"
+    return f"100 * least(n, n_o) >= {percent} * greatest(n, n_o) and {differ} <= {most}"
 
 
 def _may_link(percent: int, n1: str, p1: str, n2: str, p2: str) -> str:
