@@ -10,18 +10,19 @@ table; other words share hashed tokens, and one token pads the ends of a text. T
 a token is the token's times the word's share of all words of that token, by their counts, so every word of the
 corpus has a probability of its own and they sum to one. A document's score is the sum of the log-probabilities of its
 words. The counts grow with the corpus and meet the documents' words in a join by word. Training is stochastic
-gradient descent (Adagrad) in numpy on every task's own texts, all tokens of the table once: in each round
-every task starts from the same weights and takes its next share of the slices of texts, and the weights
-are averaged by tokens in Spark. What is gathered is one set of weights a task and round, summed per
-weight before it reaches the driver, so it follows the input while the driver holds one set.
+gradient descent (Adagrad) in numpy, all tokens of the table once: rows are dealt over rounds and shards by a hash
+of text and doc_id, and a shard's rows are sorted by it, so the model follows the rows and not their partitions. In
+each round every shard starts from the same weights, and the weights are averaged by tokens in Spark. What
+is gathered is one set of weights a shard and round, summed per weight before it reaches the driver, so it
+follows the input while the driver holds one set.
 
 Defined results: a null, empty or wordless text has n_tokens 0, log_prob 0 and a null mean; repeated rows
-get equal scores; other columns are ignored; an empty table gives an empty result.
+get equal scores (in double precision, row by row, rounded to six places); other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +36,21 @@ from tidemill.llm.textarrays import buffer_of, word_hashes, word_spans
 #: Classes and tokens of a class; of all tokens, the last SHARED (a power of two) are shared by hashed words.
 CLASSES, SHARED = 32, 128
 SIZE = CLASSES * CLASSES
+#: Words of a shard, about, and the most shards of a round: beyond that shards grow.
+SHARD, SHARDS = 1 << 20, 20_000
 
 
 class Network:
     """Weights, kept as one vector of which the layers are views."""
 
-    def __init__(self, side: int = 2, width: int = 8, seed: int = 5):
-        self.side, self.width = side, width
+    def __init__(self, side: int = 2, width: int = 8, seed: int = 5, kind: type = np.float32):
+        self.side, self.width, self.kind = side, width, kind
         self.shapes = {"tables": (2 * side, SIZE + 1, width), "classes": (CLASSES, width + 1), "tokens": (CLASSES, CLASSES, width + 1)}
         rng = np.random.default_rng(seed)
         self.load(rng.normal(0, 0.3, sum(int(np.prod(s)) for s in self.shapes.values())))
 
     def load(self, weights: np.ndarray) -> None:
-        self.weights, at = weights.astype(np.float32), 0
+        self.weights, at = weights.astype(self.kind), 0
         for name, shape in self.shapes.items():
             n = int(np.prod(shape))
             setattr(self, name, self.weights[at : at + n].reshape(shape))
@@ -72,7 +75,7 @@ class Network:
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         out = np.log(np.maximum(p[each, group], 1e-30))
-        q = np.empty((n, CLASSES), np.float32)
+        q = np.empty((n, CLASSES), self.kind)
         for c in range(CLASSES):
             a, b = ends[c], ends[c + 1]
             if a < b:
@@ -155,20 +158,22 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     return Vocabulary(top["word"].to_numpy().view(np.uint64))
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int = 2, batch: int = 4096, rate: float = 0.1, side: int = 2, width: int = 8) -> Network:
-    """A network that has met every token of docs once."""
+def train(docs: DataFrame, words: Vocabulary, rounds: int = 2, batch: int = 4096, rate: float = 0.1, side: int = 2, width: int = 8, size: int | None = None) -> Network:
+    """A network that has met every token of docs once; `size` is the number of their words, if known."""
     net, spark = Network(side, width), docs.sparkSession
+    if size is None:
+        size = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    shards = int(min(max(1, -(-size // (rounds * SHARD))), SHARDS))
+    dealt = docs.where("text is not null").select("text", F.xxhash64("text", "doc_id").alias("h"))
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((words, net.weights, turn))
+        shared = spark.sparkContext.broadcast((words, net.weights))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, weights, turn = shared.value
+            words, weights = shared.value
             own, seen = Network(side, width), 0
             own.load(weights)
             sums = {name: np.zeros(shape, np.float32) for name, shape in own.shapes.items()}
             for part in slices(batches, "text", 1 << 20):
-                if zlib.crc32(column(part, "text").slice(0, 1)[0].as_py().encode() if column(part, "text")[0].is_valid else b"") % rounds != turn:
-                    continue
                 tokens, first = words.tokens(column(part, "text"))
                 near = around(tokens, first, side)
                 order = np.random.default_rng(seen).permutation(len(tokens))
@@ -179,7 +184,8 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = 2, batch: int = 4096
             if seen:
                 yield pa.record_batch({"at": np.arange(len(own.weights), dtype=np.int32), "value": own.weights.astype(np.float64) * seen, "seen": np.full(len(own.weights), seen, np.int64)})
 
-        parts = docs.select("text").mapInArrow(learn, "at int, value double, seen long")
+        some = dealt.where(F.pmod("h", F.lit(rounds)) == turn).repartition(shards, "h").sortWithinPartitions("h")
+        parts = some.select("text").mapInArrow(learn, "at int, value double, seen long")
         mean = parts.groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value")).toArrow().sort_by("at")
         if mean.num_rows:
             net.load(mean["value"].to_numpy())
@@ -198,16 +204,17 @@ def scored(docs: DataFrame, words: Vocabulary, net: Network, counts: DataFrame |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights, own = shared.value
-        model = Network(side, width)
+        model = Network(side, width, kind=np.float64)
         model.load(weights)
         for part in slices(batches, "text", 1 << 20):
             hashes, tokens, first = words.hashed(column(part, "text"))
-            near, logs = around(tokens, first, side), [np.zeros(1)]
+            near, logs = around(tokens, first, side), [np.zeros(0)]
             for k in range(0, len(tokens), 16384):
                 some = tokens[k : k + 16384]
                 logs.append(model.log_probs(near[:, k : k + 16384], some) + own[some])
-            total = np.cumsum(np.concatenate(logs))
-            n, sums = np.diff(first), total[first[1:]] - total[first[:-1]]
+            n, sums = np.diff(first), np.zeros(part.num_rows)
+            if len(tokens):  # row by row: a score must not hang on the rows beside it
+                sums[n > 0] = np.add.reduceat(np.concatenate(logs), first[:-1][n > 0])
             out = {"row": column(part, "row"), "doc_id": column(part, "doc_id"), "n_tokens": n.astype(np.int64), "log_prob": np.where(n > 0, sums, 0.0)}
             if listed:
                 other = np.flatnonzero(tokens >= SIZE - SHARED)
@@ -222,7 +229,7 @@ def scored(docs: DataFrame, words: Vocabulary, net: Network, counts: DataFrame |
         found = rows.select("row", F.explode("words").alias("word")).join(others.where("n > 1").hint("shuffle_hash"), "word")
         rows = rows.drop("words").join(found.groupBy("row").agg(F.sum(F.log("n")).alias("counts")), "row", "left")
         total = total + F.coalesce("counts", F.lit(0.0))
-    rows = rows.select("doc_id", "n_tokens", total.alias("log_prob"))
+    rows = rows.select("doc_id", "n_tokens", F.round(total, 6).alias("log_prob"))
     return rows.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
@@ -230,4 +237,5 @@ def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     counts = counted(docs)
     words = vocabulary(docs, counts)
-    return scored(docs, words, train(docs, words), counts)
+    size = counts.agg(F.sum("n")).first()[0] or 0
+    return scored(docs, words, train(docs, words, size=size), counts)
