@@ -1,10 +1,12 @@
 """Quality rules in a short-circuit cascade, with DataFrame functions only.
 
 A rule is a named condition on measures of a text; a document is kept if no rule rejects it, so the
-rules' order cannot change the verdict, only the work. `plan` runs each rule on a sample (the first
-`SAMPLE` rows of the table), takes the time it needs and the share it rejects, and orders the rules
-by rejection per second; `kept` chains them, so that a document meets the next rule only if the one
-before has passed it, and a dear measure is not made for documents that a cheap one rejects.
+rules' order cannot change the verdict, only the work. `plan` takes a hashed sample of about `SAMPLE` rows,
+counts on the executors the work that each rule's measures need on it (`WORK`) and the share that the rule rejects, and
+orders the rules by rejection per work, in one aggregation: the same table gives the same order. The
+rules are chained in that order, so that a document meets the next rule only if the one before has passed it, and a
+dear measure is not made for documents that a cheap one rejects. `judged` returns some measures of every row;
+what only later rules need is made inside the chain.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D. Defined results: a null text has no words and
 fails; an empty table gives an empty result; rows are judged one by one, so repeated rows get equal
@@ -13,19 +15,18 @@ results; texts are never cut. Columns of the input that clash with a measure's n
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import read, saved
+from tidemill.llm.common import read
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Rows on which the rules' costs are measured: they pass through the driver.
-SAMPLE = 500
+#: Rows on which the rules' costs and selectivity are estimated, about; all rows of smaller tables.
+SAMPLE = 10_000
 #: Up to so many different repeated windows are looked up in a list; more are found by sorting.
 FEW = 48
 
@@ -96,6 +97,10 @@ def _n_repeat_words(text: Column, words: Column) -> Column:
 MEASURES = {"n_words": _n_words, "word_chars": _word_chars, "n_symbols": _n_symbols, "n_lines": _n_lines, "n_dup_lines": _n_dup_lines, "n_repeat_words": _n_repeat_words}
 
 
+#: The measures that `judged` returns of every row.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 @dataclass(frozen=True)
 class Rule:
     """A document is rejected where `rejects` holds; it is given a function from a measure's name to its column."""
@@ -117,6 +122,18 @@ RULES = (
 )
 
 
+#: Nanoseconds of a measure for a byte of the text and for a word, measured once on prose.
+WORK = {"n_words": (0, 4), "word_chars": (0, 90), "n_symbols": (45, 0), "n_lines": (17, 0), "n_dup_lines": (17, 0), "n_repeat_words": (0, 700)}
+
+
+def _work(rule: Rule, text: Column, words: Column) -> Column:
+    """Nanoseconds that the rule's measures take for a text."""
+    used: list[str] = []
+    rule.rejects(lambda name: (used.append(name), F.lit(0))[1])
+    size, n = F.coalesce(F.octet_length(text), F.lit(0)), F.size(words)
+    return sum((size * a + n * b for a, b in (WORK[name] for name in dict.fromkeys(used))), F.lit(1)).cast("double")
+
+
 def _of_text(text: Column, words: Column) -> Callable[[str], Column]:
     return lambda name: MEASURES[name](text, words)
 
@@ -130,19 +147,15 @@ def verdict(rules: tuple[Rule, ...], measure: Callable[[str], Column]) -> Column
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) in the order of rejection per second, measured on the first rows."""
-    first = docs.select("text").limit(rows).collect()  # runs as few tasks as give so many rows
-    sample = saved(docs.sparkSession.createDataFrame([(r[0],) for r in first], "text string"))
-    base = time.perf_counter()
-    total = max(sample.agg(F.count("*"), F.sum(F.size(words_of(F.col("text"))))).first()[0], 1)
-    base = time.perf_counter() - base
-    found = []
-    for rule in rules:
-        began = time.perf_counter()
-        passes = let(words_of(F.col("text")), lambda w: verdict((rule,), _of_text(F.col("text"), w)))  # noqa: B023
-        rejected = sample.agg(F.count_if(~passes)).first()[0] / total
-        found.append((rule, max(time.perf_counter() - began - base / 2, 1e-3), rejected))
-    return sorted(found, key=lambda x: -x[2] / x[1])
+    """(rule, work a document, share rejected) in the order of rejection per work, from a hashed sample of about `rows` rows."""
+    text = F.col("text")
+    share = min(1.0, rows / max(docs.count(), 1))
+    some = docs.where(F.pmod(F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    each = let(words_of(text), lambda w: F.array(*(F.struct(_work(r, text, w).alias("work"), r.rejects(_of_text(text, w)).cast("double").alias("out")) for r in rules)))
+    some = some.select(each.alias("m"))
+    found = some.agg(*(F.avg(F.col("m")[k][c]).alias(f"{c}{k}") for k in range(len(rules)) for c in ("work", "out"))).first()
+    measured = [(r, found[f"work{k}"] or 1.0, found[f"out{k}"] or 0.0) for k, r in enumerate(rules)]
+    return sorted(measured, key=lambda x: (-x[2] / x[1], x[1]))
 
 
 def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -153,12 +166,15 @@ def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, the measures, base_failed, kept) for every row of docs (doc_id, text)."""
+    text = F.col("text")
     ordered = tuple(r for r, _, _ in plan(docs, tuple(r for r in rules if r not in BASE)))
-    every = let(words_of(F.col("text")), lambda w: F.struct(*(f(F.col("text"), w).alias(name) for name, f in MEASURES.items())))
-    out = docs.select("doc_id", every.alias("m"))
-    failed = ~verdict(BASE, lambda name: F.col(f"m.{name}"))
-    out = out.select("doc_id", "m.*", failed.alias("base_failed"), F.col("m"))
-    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(ordered, lambda name: F.col(f"m.{name}")))).drop("m")
+    every = let(words_of(text), lambda w: F.struct(*(MEASURES[name](text, w).alias(name) for name in REPORTED)))
+    out = docs.select("doc_id", "text", every.alias("m"))
+    made = lambda name: F.col(f"m.{name}") if name in REPORTED else let(words_of(text), lambda w: MEASURES[name](text, w))
+    failed = ~verdict(BASE, made)
+    out = out.select("doc_id", "text", "m", failed.alias("base_failed"))
+    keeps = F.when(F.col("base_failed"), False).otherwise(verdict(ordered, made))
+    return out.select("doc_id", "m.*", "base_failed", keeps.alias("kept"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
