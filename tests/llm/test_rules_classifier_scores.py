@@ -57,6 +57,18 @@ def test_the_plan_measures_each_rule(docs, none):
     assert qr.judged(none).count() == 0 and qr.kept(none).count() == 0
 
 
+def test_the_order_of_rules_hangs_on_the_rows_alone(docs):
+    """Any partitioning and any run gives one order; a sample is of all parts of the table."""
+    orders = {tuple((r.name, round(s, 3), round(x, 6)) for r, s, x in qr.plan(docs.repartition(n), rows=40)) for n in (1, 2, 5, 5)}
+    assert len(orders) == 1
+
+
+def test_what_only_later_rules_need_is_made_inside_the_chain(docs):
+    plan = qr.judged(docs)._jdf.queryExecution().optimizedPlan().toString()
+    chain = plan[plan.index("base_failed") :]
+    assert "n_lines" not in plan and "CASE WHEN" in chain
+
+
 def test_rules_run_no_python(docs):
     assert "Python" not in qr.judged(docs)._jdf.queryExecution().toString()
 
@@ -90,6 +102,27 @@ def test_classifier_with_odd_rows(spark, docs, corpus, none):
     assert qc.scored(none, model).count() == 0
 
 
+def test_scores_of_single_texts_and_of_repeated_rows(spark, docs, corpus):
+    """Against a plain rendering: indicators of one text at a time, their weights added up; equal texts get equal scores."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = qc.fit(docs, labels)
+    text = next(r[1] for r in corpus if r[0] == 8)
+    many = spark.createDataFrame([(i, text if i % 2 else f"{text} and {i} more") for i in range(120)], "doc_id long, text string").repartition(5)
+    assert len({r["score"] for r in qc.scored(many, model).where("doc_id % 2 = 1").collect()}) == 1
+    got = {r["doc_id"]: r["score"] for r in qc.scored(docs, model).collect() if r["doc_id"] is not None}
+    for i, t, *_ in corpus[:40]:
+        f, n = qc.indicators(pa.array([t]))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.slope * (sum(model.weights[k] for k in f.tolist()) / math.sqrt(n[0]) + model.bias) + model.offset))), abs=1e-9)
+
+
+def test_a_repeated_doc_id_is_learnt_from_once(spark):
+    rows = [(i % 6, f"word{i % 6} text {i // 6}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = qc.fit(d, labels), qc.fit(d.repartition(7), labels)
+    assert np.array_equal(a.weights, b.weights)
+
+
 def test_held_out_labels_are_not_learnt_from(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     flipped = labels.withColumn("quality", F.when(qc.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))

@@ -10,8 +10,8 @@ documents with the smallest hashed doc_id (all, if there are fewer). Labels are
 no input of a score. Every document is scored whole.
 
 Defined results: a null or empty text is scored by its shape alone; without labels of both classes all
-scores are 0.5; several labels of one doc_id count as the largest; a null doc_id is not held out and
-never learnt from; repeated rows get equal scores.
+scores are 0.5; several labels of one doc_id count as the largest, and of several texts of one doc_id one is learnt
+from (that of the smallest hash); a null doc_id is not held out and never learnt from; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -112,9 +112,10 @@ class Model:
         f, n = indicators(texts)
         if not self.known:
             return np.full(len(n), 0.5)
-        total = np.concatenate(([0.0], np.cumsum(self.weights[f])))
-        ends = np.cumsum(n)
-        margin = (total[ends] - total[ends - n]) / np.sqrt(n) + self.bias
+        if not len(n):
+            return np.zeros(0)
+        # Row by row: a score must not hang on the rows beside it. Every row has indicators of its shape.
+        margin = np.add.reduceat(self.weights[f], np.cumsum(n) - n) / np.sqrt(n) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
@@ -134,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
             yield pa.record_batch({"label": column(part, "_label"), "id": column(part, "_id"), "features": lists(f, n)})
 
     found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "_label", "text")
+    found = found.groupBy("_id", "_label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one row a doc_id
     found = found.mapInArrow(described, "label int, id long, features array<int>").toArrow().sort_by("id")
     features = found["features"].combine_chunks()
     at, flat = features.offsets.to_numpy(), features.values.to_numpy()
