@@ -75,3 +75,14 @@ def test_mixed_rows_and_empty_tables(docs, none):
 def test_all_texts_empty(spark):
     d = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert {r["taken"] for r in mixing.mix(d).collect()} == {0}
+
+
+def test_documents_longer_than_the_program_bound_its_memory():
+    import tracemalloc
+
+    sizes, counts = np.array([3, 5, 90_000_000]), np.array([1000, 1000, 2])
+    tracemalloc.start()
+    times, extra = mixing.fit(sizes, counts, int((sizes * counts).sum()), 100_000_000.0, 3)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert times == 0 and abs(int((sizes * extra).sum()) - 100_000_000) <= 10_000_000

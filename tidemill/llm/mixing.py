@@ -5,7 +5,7 @@ Each source has a weight; together the targets make up `share` of all words. A t
 documents are all taken as often as the target holds the source's whole size; the budget that then
 remains is fitted on the source's histogram of exact lengths: first the same part of every length,
 then a bounded-knapsack dynamic program over the lengths that are left. Which documents of a length
-are taken follows a seeded hash of the doc_id, so reruns agree.
+are taken follows a seeded hash of doc_id and text, so reruns agree.
 
 Defined results: a null text has size 0, a document of size 0 is taken 0 words, a null source is a
 source of its own (last), rows with the same doc_id are documents of their own, and an empty table
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import ranked, read, saved, subset_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: The dynamic program fits budgets up to this many times the longest document.
-BUDGET = 4
+#: The dynamic program fits budgets up to this many times the longest document of at most `LONGEST` words; longer ones are taken whole before it.
+BUDGET, LONGEST = 4, 1 << 20
 
 
 def n_words(text):
@@ -53,20 +53,26 @@ def fit(sizes: np.ndarray, counts: np.ndarray, total: int, target: float, repeat
         return times, np.zeros(len(sizes), np.int64)
     extra = np.floor(counts * (budget / total)).astype(np.int64)
     budget = int(round(budget - float((extra * sizes).sum())))
-    left, span = counts - extra, BUDGET * int(sizes.max())
+    left, span = counts - extra, BUDGET * int(min(sizes.max(), LONGEST))
     for i in np.argsort(-sizes, kind="stable"):
         if budget > span and left[i]:
             k = min(int(left[i]), (budget - span // 2) // int(sizes[i]))
             extra[i] += k
             left[i] -= k
             budget -= k * int(sizes[i])
+    if budget > span:  # what is left are documents so long that one of them may come near the budget or overshoot it
+        some = np.flatnonzero(left)
+        near = some[np.argmin(np.abs(sizes[some] - budget))] if len(some) else None
+        if near is not None and abs(int(sizes[near]) - budget) < budget:
+            extra[near] += 1
+        return times, extra
     return times, extra + subset_sum(sizes, left, budget)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, repeats: int = 3, seed: int = 11) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs (doc_id, text, source)."""
-    sized = saved(docs.select("doc_id", "source", n_words("text").alias("size")))
-    return _planned(sized, ["doc_id"], weights, share, repeats, seed).select("doc_id", "size", "source_size", "target", "taken")
+    sized = saved(docs.select("doc_id", "source", n_words("text").alias("size"), F.xxhash64("text").alias("tie")))
+    return _planned(sized, ["doc_id", "tie"], weights, share, repeats, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _planned(sized: DataFrame, ties: list[str], weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, repeats: int = 3, seed: int = 11) -> DataFrame:
@@ -82,7 +88,7 @@ def _planned(sized: DataFrame, ties: list[str], weights: tuple[int, ...] = (5, 2
         return pd.DataFrame({"at": part["at"], "size": part["size"], "times": times, "extra": extra})
 
     plan = saved(count.groupBy("at").applyInPandas(fitted, "at int, size long, times int, extra long"))
-    sized = sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    sized = sized.withColumn("h", F.xxhash64(*ties, F.lit(seed)))
     rows = ranked(sized, ["at", "size"], "h", ties).join(plan, ["at", "size"], "left")
     taken = F.coalesce(F.col("size") * (F.col("times") + (F.col("rank") < F.col("extra")).cast("int")), F.lit(0)).cast("long")
     return rows.withColumn("taken", taken)
@@ -94,8 +100,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Every row is planned on its own and carried through the plan, so rows with one doc_id, or copies without one, are
     taken as often as each of them is planned. Rows without a doc_id are ordered by their text.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    rows = docs.select(key.alias("doc_id"), "source", n_words("text").alias("size"), F.xxhash64("text").alias("tie"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select("doc_id", "source", n_words("text").alias("size"), F.xxhash64("text").alias("tie"), F.struct(*docs.columns).alias("row"))
     taken = _planned(saved(rows), ["doc_id", "tie"], **how).where("taken > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select("row.*")
 
