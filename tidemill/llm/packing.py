@@ -307,11 +307,11 @@ def pack(docs: DataFrame, tokenizer: str, closing: int = 1, length: int = 2048,
     spark = docs.sparkSession
     if length & (length - 1):
         raise ValueError("length must be a power of two")
-    cut = saved(pieces(docs, tokenizer, closing, length, grain).withColumn("h", F.xxhash64("doc_id", "start", F.lit(seed))))
+    cut = saved(pieces(docs, tokenizer, closing, length, grain).withColumn("h", F.xxhash64("doc_id", "start", "crc", "doc_tokens", F.lit(seed))))
     count = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # length / grain + grain rows at most
     sizes = np.array(sorted(count), np.int64)
     places, bits, ranges = _places(sizes, np.array([count[s] for s in sizes.tolist()], np.int64), length)
-    items = ranked(cut, ["length"], "h", ["doc_id", "start"])
+    items = ranked(cut, ["length"], "h", ["doc_id", "start", "crc", "doc_tokens", "parts"])  # rows alike in all of these are the same piece
     place = spark.createDataFrame(places, "length_ long, low long, high long, first long, many long, at long")
     items = items.join(F.broadcast(place), (F.col("length") == F.col("length_")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left")
     k = F.col("rank") - F.col("low")
