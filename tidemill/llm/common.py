@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once.
 SLICE_BYTES = 2 << 20
+#: Folders of the tables that `saved` wrote and `drop` has not deleted.
+WRITTEN: list[str] = []
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset a local master gets a temporary one, and a cluster an error."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         told = tempfile.mkdtemp(prefix="tidemill-")
         spark.sparkContext.setCheckpointDir(told)
     elif not spark.sparkContext.getCheckpointDir():
@@ -32,9 +36,18 @@ def saved(df: DataFrame) -> DataFrame:
     """df written as Parquet to the work folder and read again: its lineage ends there."""
     path = f"{work_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes saved tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        WRITTEN.remove(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
