@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import jaccard_join, mixing, packing, quality_rules, substring_dedup
-from tidemill.llm.common import read, saved
+from tidemill.llm.common import WRITTEN, drop, read, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and read again by the next."""
+    """All stages over the documents of sf_dir, each written as Parquet and read again by the next; what a stage wrote on its way goes."""
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, saved(docs) if k else docs, sf_dir)
-    return docs
+    last: list[str] = []
+    for _, stage in STAGES[:-1]:
+        before = len(WRITTEN)
+        docs = saved(stage(spark, docs, sf_dir))
+        last, done = WRITTEN[-1:], [*last, *WRITTEN[before:-1]]
+        drop(spark, done)
+    return STAGES[-1][1](spark, docs, sf_dir)
