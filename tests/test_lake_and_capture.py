@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 import zipfile
 
 import pytest
@@ -172,3 +173,75 @@ def test_streamed_features_are_those_of_the_batch(spark, tmp_path):
     want = decided(spark, rows)
     last = {max(r[1] for r in want if r[0] == day) for day in {r[0] for r in want}}
     assert got == [r for r in want if r[1] not in last]  # the last row of a day waits for the next
+
+
+def deliveries(spark, seed=0):
+    r = random.Random(seed)
+    rows, at = [], 0
+    for _ in range(300):
+        at += r.choice([1, 30, 60, 119, 120, 121, 200]) * SECOND
+        rows.append((f"s{r.randrange(2)}", r.randrange(3), at, r.randrange(4), r.choice([None, 2**60 + r.randrange(9)]), r.choice([None, 0.1, 1e-7])))
+    return sorted(set(rows), key=lambda x: (x[2], x[1])), "symbol string, conn_id int, rtime long, id long, big long, price double"
+
+
+def folded(rows, ttl=120 * SECOND):
+    last, out = {}, []
+    for r in sorted(rows, key=lambda r: (r[2], r[1])):
+        k = (r[0], r[3])
+        if k not in last or r[2] - last[k] > ttl:
+            last[k] = r[2]
+            out.append(r)
+    return out
+
+
+def test_a_key_lives_from_its_first_kept_delivery(spark):
+    d = spark.createDataFrame([("s", 0, t * SECOND, 1) for t in (0, 100, 200, 300, 420, 421, 600)], "symbol string, conn_id int, rtime long, id long")
+    assert sorted(r["rtime"] // SECOND for r in capture.first_deliveries(d, ["id"]).collect()) == [0, 200, 420, 600]
+    for seed in range(3):
+        rows, kind = deliveries(spark, seed)
+        got = capture.first_deliveries(spark.createDataFrame(rows, kind).repartition(3), ["symbol", "id"]).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, folded(rows)))
+
+
+def test_the_stream_keeps_what_the_batch_keeps(spark, tmp_path):
+    rows, kind = deliveries(spark, 7)
+    for k in range(0, len(rows), 40):
+        spark.createDataFrame(rows[k : k + 40], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/p{k:05}"))
+    s = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = stream.deduplicated(s, ["symbol", "id"]).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(str, map(tuple, spark.table("kept").collect()))) == sorted(map(str, folded(rows)))
+
+
+def test_the_streamed_ledger_is_that_of_the_batch(spark, tmp_path):
+    r, rows, at, last = random.Random(2), [], 0, 0
+    for _ in range(400):
+        at += r.choice([1, 1, 1, 2, 7]) * SECOND
+        last += r.choice([1, 1, 1, 3])
+        rows.append(("s", 0 if r.random() < 0.9 else 1, at, last if r.random() < 0.8 else None))
+    kind = "symbol string, conn_id int, rtime long, id long"
+    for k in range(0, len(rows), 50):
+        spark.createDataFrame(rows[k : k + 50], kind).coalesce(1).write.parquet(str(tmp_path / f"in/p{k:05}"))
+    s = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    stream.to_ledger(stream.ledger(s), str(tmp_path / "out"), str(tmp_path / "ck"), {"availableNow": True}).awaitTermination(120)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    batch = spark.createDataFrame(rows, kind).selectExpr("*", "rtime div 60000000000 as day")
+    pick = lambda d: sorted((r["gap_start_rtime"], r["gap_end_rtime"], r["conn_id"]) for r in d.collect())
+    assert pick(found.where("cause = 'merged-silent'")) == pick(capture.merged_gaps(batch)) != []
+    assert pick(found.where("cause = 'connection-silent'")) == pick(capture.connection_gaps(batch)) != []
+    skips = [r["missing"] for r in capture.id_skips(batch.where("id is not null")).collect()]
+    assert sorted(r["missing"] for r in found.where("cause = 'id-skip'").collect()) == sorted(skips) != []
+
+
+def test_parts_of_one_name_are_told_apart(spark, tmp_path):
+    import hashlib
+
+    paths = []
+    for day in ("a", "b"):
+        spark.range(5 if day == "a" else 7).coalesce(1).write.parquet(str(tmp_path / day))
+        part = next((tmp_path / day).glob("part-*.parquet")).rename(tmp_path / day / "part-0.parquet")
+        paths.append(str(part))
+    digests = {p: hashlib.sha256(open(p, "rb").read()).hexdigest() for p in paths}
+    assert archive.verified(spark, digests).count() == 12
+    with pytest.raises(ValueError):
+        archive.verified(spark, {paths[0]: digests[paths[0]], paths[1]: digests[paths[0]]})

@@ -44,8 +44,8 @@ def test_no_prediction_above_the_spread_gives_no_trade(spark):
 
 
 def test_prices_off_the_grid_are_refused(spark):
-    frame = [(0, 1, 100.04, 100.1, 1.0)]
-    with pytest.raises(Exception, match="whole tick"):
+    frame = [(0, 1, 100.05, 100.1, 1.0)]
+    with pytest.raises(Exception, match="near a whole tick"):
         simulate.arrays(spark.createDataFrame(frame, "day long, etime long, bid_price double, ask_price double, pred double")).collect()
 
 
@@ -58,3 +58,27 @@ def test_ceiling_guard():
     simulate.guard_against_ceiling(3, 4, "val")
     with pytest.raises(ValueError):
         simulate.guard_against_ceiling(4, 4, "val")
+
+
+def test_prices_within_half_a_tick_are_floored(spark):
+    frame = [(0, k, p, p, 1.0) for k, p in enumerate((100.0, 100.04, 100.0499, 99.9))]
+    rows = simulate.arrays(spark.createDataFrame(frame, "day long, etime long, bid_price double, ask_price double, pred double"))
+    assert [r["bid_ticks"] for r in rows.orderBy("etime").collect()] == [1000, 1000, 1000, 999]
+
+
+def test_refused_rows_do_not_run(spark):
+    for pred in (None, -1.0, float("nan"), float("inf")):
+        frame = [(0, 1, 100.0, 100.1, 101.0), (0, 2, 100.0, 100.1, pred)]
+        with pytest.raises(Exception, match="refused"):
+            simulate.simulated(spark.createDataFrame(frame, "day long, etime long, bid_price double, ask_price double, pred double"))[0].collect()
+
+
+def test_notional_is_bounded_and_a_hundred_by_default(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.functions import fixed
+
+    price = spark.createDataFrame([(1000,)], "p long")
+    assert price.select(fixed.position_size(F.col("p"), simulate.MAX_NOTIONAL)).first()[0] == 10**8
+    with pytest.raises(ValueError):
+        fixed.position_size(F.col("p"), fixed.MOST_NOTIONAL + 1)

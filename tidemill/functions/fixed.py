@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 QTY_SCALE, PRICE_SCALE, TICK_SCALED, LOT_SCALED = 10**8, 10**8, 10**7, 10**5
 
 
+#: The most notional whose product with the quantity scale fits a LONG.
+MOST_NOTIONAL = (2**63 - 1) // QTY_SCALE
+
+
 def scaled(value: Column, scale: int = QTY_SCALE) -> Column:
     """value * scale as a LONG; fails for what is not finite."""
     ok = value.isNull() | (~F.isnan(value) & (F.abs(value) < float("inf")))
@@ -27,14 +31,23 @@ def ceil_div(a: Column, b) -> Column:
 
 
 def price_to_ticks(price: Column) -> Column:
-    """A price in ticks of 0.1; fails if it is no whole number of ticks."""
+    """A price in whole ticks of 0.1, rounded down; fails for half a tick or more above one, and for a price that its LONG does not give back to 1e-6."""
     s = scaled(price, PRICE_SCALE)
-    near = F.pmod(s + TICK_SCALED // 2, F.lit(TICK_SCALED)) - TICK_SCALED // 2
-    return F.when(price.isNull() | (F.abs(near) <= 1), floor_div(s + TICK_SCALED // 2, TICK_SCALED)).otherwise(F.raise_error(F.concat(F.lit("not a whole tick: "), price.cast("string"))).cast("long"))
+    close = F.abs(s / float(PRICE_SCALE) - price) < 1e-6
+    near = F.pmod(s, F.lit(TICK_SCALED)) < TICK_SCALED // 2
+    return F.when(price.isNull() | (close & near), floor_div(s, TICK_SCALED)).otherwise(F.raise_error(F.concat(F.lit("not near a whole tick: "), price.cast("string"))).cast("long"))
+
+
+def exact_quantity(value: Column) -> Column:
+    """A quantity on the 1e-8 scale; fails for one that lies between two of its steps."""
+    s = scaled(value)
+    return F.when(value.isNull() | (s / float(QTY_SCALE) == value), s).otherwise(F.raise_error(F.concat(F.lit("not on the quantity scale: "), value.cast("string"))).cast("long"))
 
 
 def position_size(price_ticks: Column, max_notional_scaled: int, lot_scaled: int = LOT_SCALED) -> Column:
     """Quantity on the 1e-8 scale that max_notional buys at this price, in whole lots."""
+    if max_notional_scaled > MOST_NOTIONAL:
+        raise ValueError(f"a notional of {max_notional_scaled} is above {MOST_NOTIONAL}")
     most = floor_div(F.lit(max_notional_scaled).cast("decimal(38,0)") * QTY_SCALE, price_ticks.cast("decimal(20,0)") * TICK_SCALED)
     return floor_div(most, lot_scaled) * lot_scaled
 

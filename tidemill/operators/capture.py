@@ -27,8 +27,8 @@ def _fields(frames: DataFrame, which: str) -> DataFrame:
 
 
 def parsed_quotes(frames: DataFrame) -> DataFrame:
-    k = lambda name, to, key: F.element_at("j", key).cast(to).alias(name)
-    ns = lambda name, key: ms_to_ns(F.element_at("j", key)).alias(name)
+    k = lambda name, to, key: F.try_element_at("j", F.lit(key)).cast(to).alias(name)
+    ns = lambda name, key: ms_to_ns(F.try_element_at("j", F.lit(key))).alias(name)
     return _fields(frames, "quote").select(
         "conn_id", "rtime", k("symbol", "string", "s"), k("id", "long", "u"), ns("etime", "T"), ns("event_time", "E"),
         k("bid_price", "double", "b"), k("bid_qty", "double", "B"), k("ask_price", "double", "a"), k("ask_qty", "double", "A"),
@@ -37,7 +37,7 @@ def parsed_quotes(frames: DataFrame) -> DataFrame:
 
 def parsed_trades(frames: DataFrame) -> DataFrame:
     k = lambda name, to, key: F.try_element_at("j", F.lit(key)).cast(to).alias(name)
-    ns = lambda name, key: ms_to_ns(F.element_at("j", key)).alias(name)
+    ns = lambda name, key: ms_to_ns(F.try_element_at("j", F.lit(key))).alias(name)
     return _fields(frames, "trade").select(
         "conn_id", "rtime", k("symbol", "string", "s"), k("id", "long", "t"), ns("etime", "T"), ns("event_time", "E"),
         k("price", "double", "p"), k("qty", "double", "q"), k("is_buyer_maker", "boolean", "m"), k("exec_type", "string", "X"),
@@ -47,13 +47,21 @@ def parsed_trades(frames: DataFrame) -> DataFrame:
 def first_deliveries(rows: DataFrame, key: list[str], ttl: int = 120 * SECOND) -> DataFrame:
     """Rows of a key that come more than ttl after the last kept one are kept again; others are redeliveries.
 
-    Chains of deliveries closer than ttl are judged from the first of the chain, inside each key alone.
+    A row more than ttl behind the one before it is kept whatever came earlier, so each key falls into chains. The first row
+    of a chain is kept; only the times of a chain beyond ttl from its start are folded in order.
     """
     w = Window.partitionBy(*key).orderBy("rtime", "conn_id")
     step = F.col("rtime") - F.lag("rtime").over(w)
     chain = F.sum((F.coalesce(step, F.lit(2**62)) > ttl).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = rows.withColumn("_chain", chain).withColumn("_n", F.row_number().over(Window.partitionBy(*key, "_chain").orderBy("rtime", "conn_id")))
-    return d.where("_n = 1").drop("_chain", "_n")
+    d = rows.withColumn("_chain", chain)
+    d = d.withColumn("_start", F.min("rtime").over(Window.partitionBy(*key, "_chain").orderBy("rtime").rowsBetween(Window.unboundedPreceding, 0)))
+    far = (F.col("rtime") == F.col("_start")) | (F.col("rtime") > F.col("_start") + ttl)
+    times = d.where(far).groupBy(*key, "_chain").agg(F.sort_array(F.collect_set("rtime")).alias("_times"))
+    fold = lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > ttl), F.concat(kept, F.array(t))).otherwise(kept)
+    times = times.select(*key, F.explode(F.aggregate("_times", F.array().cast("array<bigint>"), fold)).alias("rtime"))
+    d = d.join(times, [*key, "rtime"], "left_semi")
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy(*key, "rtime").orderBy("conn_id")))
+    return d.where("_n = 1").select(*rows.columns)
 
 
 def merged_gaps(rows: DataFrame, threshold: int = 5 * SECOND, bucket: str = "day") -> DataFrame:

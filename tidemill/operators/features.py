@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.clock import SECOND
-from tidemill.functions.fixed import QTY_SCALE, scaled
+from tidemill.functions.fixed import QTY_SCALE, exact_quantity
 from tidemill.operators.ordered import up_to, within
 
 ORDER = ["etime", "source_rank", "seq"]
@@ -37,7 +37,7 @@ def scanned(merged: DataFrame, window: int = SECOND) -> DataFrame:
     now = up_to(w)
     own = within(["day", "source_rank"], ["etime", "seq"])
     is_quote = F.col("source_rank") == 0
-    signed = F.coalesce(scaled(F.col("trade_qty")) * F.col("trade_side").cast("long"), F.lit(0).cast("long"))
+    signed = F.coalesce(exact_quantity(F.col("trade_qty")) * F.col("trade_side").cast("long"), F.lit(0).cast("long"))
     lag = lambda c: F.lag(c).over(own)
     d = merged.repartition("day").withColumn("_signed", signed).withColumn("_trade", (~is_quote).cast("long"))
     d = d.withColumn("_ofi", F.when(is_quote, ofi_of(*map(F.col, ("bid_price", "bid_qty", "ask_price", "ask_qty")), *map(lag, ("bid_price", "bid_qty", "ask_price", "ask_qty")))))

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.folds import inside, train_intervals
 from tidemill.operators.ordered import running_sum
+from tidemill.operators.written import written
 
+#: Buckets that distinct values are dealt into for their ranks.
+QUANTILES = 64
 FEATURES, TARGET = ("imb_top", "ofi", "trade_flow"), "ret_10s_mid"
 
 
@@ -161,16 +164,17 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: list[str] | None = None)
     """Spearman's correlation with average ranks for ties; null if a side is constant.
 
     A value's average rank is (rows below it) + (rows of it + 1) / 2: counts of distinct values are ranked, not rows.
-    Distinct values are dealt by size into buckets of a 1000th of the value range, so no task sorts them all.
+    Distinct values are dealt by size into buckets between quantiles of theirs, so no task sorts them all, whatever their spread.
     """
     by = by or []
-    d = df.where(finite(F.col(a)) & finite(F.col(b))).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).persist()  # read five times
+    d = df.where(finite(F.col(a)) & finite(F.col(b))).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    d = written(d)  # read three times
     for c in ("_a", "_b"):
-        span = d.groupBy(*by).agg(F.min(c).alias("_low"), F.max(c).alias("_high"))
         join = (lambda x, y: x.join(F.broadcast(y), by)) if by else (lambda x, y: x.crossJoin(F.broadcast(y)))
-        count = join(d.groupBy(*by, c).agg(F.count("*").alias("_many")), span)
-        place = F.when(F.col("_high") > F.col("_low"), F.floor((F.col(c) - F.col("_low")) / (F.col("_high") - F.col("_low")) * 999)).otherwise(F.lit(0)).cast("long")
-        count = running_sum(count.withColumn("_bucket", place), {"_upto": F.col("_many")}, "_bucket", [c], by)
+        count = written(d.groupBy(*by, c).agg(F.count("*").alias("_many")))
+        bounds = count.groupBy(*by).agg(F.percentile_approx(c, [k / QUANTILES for k in range(1, QUANTILES)], 1000).alias("_bounds"))
+        place = F.size(F.filter("_bounds", lambda b: b < F.col(c))).cast("long")  # noqa: B023
+        count = running_sum(join(count, bounds).withColumn("_bucket", place).drop("_bounds"), {"_upto": F.col("_many")}, "_bucket", [c], by)
         d = d.join(count.select(*by, c, (F.col("_upto") - (F.col("_many") - 1) / 2.0).alias(f"_r{c}")), [*by, c])
     x, y = F.col("_r_a"), F.col("_r_b")
     out = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))

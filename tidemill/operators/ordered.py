@@ -1,7 +1,8 @@
 """Ordered computation over a whole table without one task that holds it.
 
 A global order is split into buckets that follow it (days, say). Inside a bucket a window does the work;
-one summary row a bucket is combined by a window over the summaries, and joined back.
+one summary row a bucket is combined by a window over the summaries, and joined back. What the summary and the rows
+both need is written once, so scans in a row do not double the work.
 Every function takes the order as SQL expressions; `bucket` must not decrease along it.
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemill.operators.written import written
+
 
 def within(bucket: list[str] | str, order: list) -> WindowSpec:
     return Window.partitionBy(*([bucket] if isinstance(bucket, str) else bucket)).orderBy(*order)
@@ -32,10 +35,11 @@ def carry(df: DataFrame, values: dict[str, Column], bucket: str, order: list[str
     by = by or []
     frame = (up_to if inclusive else before)(within([*by, bucket], [F.expr(o) for o in order]))
     held = df.withColumns({f"_v_{n}": c for n, c in values.items()})
+    held = written(held.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(frame) for n in values}))
     last = held.groupBy(*by, bucket).agg(*(F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), _key(order))).alias(f"_l_{n}") for n in values))
     past = before(Window.partitionBy(*by).orderBy(bucket))
     last = last.select(*by, bucket, *(F.last(f"_l_{n}", ignorenulls=True).over(past).alias(f"_p_{n}") for n in values))
-    out = held.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(frame) for n in values}).join(last, [*by, bucket])
+    out = held.join(last, [*by, bucket])
     out = out.withColumns({n: F.coalesce(f"_i_{n}", f"_p_{n}") for n in values})
     return out.drop(*(f"_{k}_{n}" for k in "vipl" for n in values))
 
@@ -45,10 +49,11 @@ def running_sum(df: DataFrame, values: dict[str, Column], bucket: str, order: li
     by = by or []
     frame = up_to(within([*by, bucket], [F.expr(o) for o in order]))
     held = df.withColumns({f"_v_{n}": F.coalesce(c, F.lit(0)) for n, c in values.items()})
+    held = written(held.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(frame) for n in values}))
     total = held.groupBy(*by, bucket).agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values))
     past = before(Window.partitionBy(*by).orderBy(bucket))
     total = total.select(*by, bucket, *(F.coalesce(F.sum(f"_t_{n}").over(past), F.lit(0)).alias(f"_p_{n}") for n in values))
-    out = held.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(frame) for n in values}).join(total, [*by, bucket])
+    out = held.join(total, [*by, bucket])
     return out.withColumns({n: F.col(f"_i_{n}") + F.col(f"_p_{n}") for n in values}).drop(*(f"_{k}_{n}" for k in "vip" for n in values))
 
 

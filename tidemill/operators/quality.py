@@ -60,12 +60,13 @@ def placeholder_rate(counts: DataFrame, stream: str = "trade") -> DataFrame:
 
 
 def probable_loss(trades: DataFrame, key: str = "id", ids: int = THRESHOLDS["loss_ids"], span: int = THRESHOLDS["loss_ns"]) -> DataFrame:
-    """Skips in the ids of a day that are long in ids and in time; informational."""
+    """Skips in the ids of a day that are long in ids and in time, and the largest skip of all; informational. n/a below two trades."""
     w = Window.partitionBy("day").orderBy(key)
     d = trades.select("day", (F.col(key) - F.lag(key).over(w) - 1).alias("skip"), (F.col("etime") - F.lag("etime").over(w)).alias("span"))
     flagged = (F.col("skip") > ids) & (F.col("span") > span)
-    out = d.groupBy("day").agg(F.count_if(flagged).alias("n"), F.max(F.when(flagged, F.col("skip"))).alias("most"))
-    return out.select(*row(F.col("day"), "trade", "probable_loss", F.lit("ok"), F.col("most"), F.col("n")))
+    out = d.groupBy("day").agg(F.count_if(flagged).alias("n"), F.max(F.when(flagged, F.col("skip"))).alias("most"), F.count("skip").alias("pairs"), F.max("skip").alias("top"), F.max("span").alias("long"))
+    detail = F.concat(F.lit("largest skip "), F.col("top").cast("string"), F.lit(", longest step "), F.col("long").cast("string"))
+    return out.select(*row(F.col("day"), "trade", "probable_loss", F.when(F.col("pairs") == 0, "n/a").otherwise("ok"), F.col("most"), F.col("n"), detail))
 
 
 def crossed_or_locked(quotes: DataFrame) -> DataFrame:
@@ -134,8 +135,8 @@ def verdict(report_: DataFrame) -> DataFrame:
 
 
 def write_report(report_: DataFrame, path: str) -> str:
-    """Writes a report as Parquet by day and returns it as Markdown (a row a check and day)."""
-    report_.write.partitionBy("day").mode("overwrite").parquet(path)
+    """Writes a report as Parquet by day, in place of these days alone, and returns it as Markdown (a row a check and day)."""
+    report_.write.partitionBy("day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     return markdown(report_.orderBy("day", "stream", "check").collect())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.clock import DURATIONS, SECOND, date_string
+from tidemill.functions.clock import DURATIONS, HOUR, SECOND, date_string
 from tidemill.lake import Refused
 from tidemill.operators import features, labels
 
@@ -38,7 +38,7 @@ def build(quotes: DataFrame, trades: DataFrame, path: str, days: list[int], stat
         near = sorted({*ready, *(d + 1 for d in ready)})
         rows = feature_rows(quotes.where(F.col("day").isin(near)), trades.where(F.col("day").isin(ready)), **how).where(F.col("day").isin(ready))
         rows = rows.withColumn("date", date_string(F.col("etime")))
-        rows.repartition("date").sortWithinPartitions("date", "etime").write.partitionBy("date").option("compression", "zstd").mode("append").parquet(path)
+        rows.repartition("date", F.floor(F.col("etime") / HOUR)).sortWithinPartitions("date", "etime").write.partitionBy("date").option("compression", "zstd").mode("append").parquet(path)
     return statuses | dict.fromkeys(ready, "written")
 
 

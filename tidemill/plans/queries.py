@@ -165,9 +165,9 @@ def _sources(spark, d):
 
 
 SOURCES = f"{src.SQL}, ar AS (SELECT * FROM trades WHERE id % 17 <> 0 AND day % 9 <> 4), ca AS (SELECT * FROM trades WHERE id % 19 <> 0 AND day % 7 <> 3)"
-RECON = f"""{SOURCES}, span AS (SELECT day, greatest(a0, c0) AS low, least(a1, c1) AS high FROM (SELECT day, min(id) AS a0, max(id) AS a1 FROM ar GROUP BY day) JOIN (SELECT day, min(id) AS c0, max(id) AS c1 FROM ca GROUP BY day) USING (day)),
+RECON = f"""{SOURCES}, arn AS (SELECT * FROM ar WHERE coalesce(exec_type, '') <> 'NA'), can AS (SELECT * FROM ca WHERE coalesce(exec_type, '') <> 'NA'), span AS (SELECT day, greatest(a0, c0) AS low, least(a1, c1) AS high FROM (SELECT day, min(id) AS a0, max(id) AS a1 FROM arn GROUP BY day) JOIN (SELECT day, min(id) AS c0, max(id) AS c1 FROM can GROUP BY day) USING (day)),
 recon AS (SELECT day, count(*) FILTER (a AND c) AS in_both, count(*) FILTER (NOT c) AS archive_only, count(*) FILTER (NOT a) AS capture_only
-  FROM (SELECT day, id, bool_or(a) AS a, bool_or(NOT a) AS c FROM (SELECT day, id, true AS a FROM ar UNION ALL SELECT day, id, false FROM ca) GROUP BY day, id)
+  FROM (SELECT day, id, bool_or(a) AS a, bool_or(NOT a) AS c FROM (SELECT day, id, true AS a FROM arn UNION ALL SELECT day, id, false FROM can) GROUP BY day, id)
   JOIN span USING (day) WHERE id BETWEEN low AND high GROUP BY day)"""
 
 
@@ -260,10 +260,10 @@ def admission(spark, d):
     return folds.admission_counts(folds.with_age(_decisions(spark, d)), SEGMENTS, 10 * MINUTE)
 
 
-@query("purge_embargo", f"""WITH {SCAN}, t AS (SELECT etime, etime >= {D1 * DAY - HOUR} AND etime < {D2 * DAY + HOUR} OR etime >= {D2 * DAY - HOUR} AND etime < {(D2 + 5) * DAY + HOUR} AS purged FROM decisions WHERE etime >= {D0 * DAY} AND etime < {D1 * DAY})
-SELECT count(*) FILTER (purged) AS purged, 0::BIGINT AS embargoed, count(*) FILTER (NOT purged) AS kept FROM t""")
+@query("purge_embargo", f"""WITH {SCAN}, t AS (SELECT etime, etime < {D1 * DAY + HOUR} OR etime >= {D2 * DAY - HOUR} AS purged, etime >= {D1 * DAY + HOUR} AND etime < {D1 * DAY + 2 * HOUR} AS held FROM decisions WHERE etime >= {D1 * DAY} AND etime < {D2 * DAY})
+SELECT count(*) FILTER (purged) AS purged, count(*) FILTER (held AND NOT purged) AS embargoed, count(*) FILTER (NOT purged AND NOT held) AS kept FROM t""")
 def purge_embargo(spark, d):
-    return folds.purge_counts(_decisions(spark, d), SEGMENTS[0], SEGMENTS[1:], HOUR, HOUR)
+    return folds.purge_counts(_decisions(spark, d), SEGMENTS[1], [SEGMENTS[0], SEGMENTS[2]], HOUR, HOUR)
 
 
 BLOCKS = folds.blocks(D0 * DAY, D1 * DAY, 5)
@@ -348,16 +348,20 @@ def poly2_gram(spark, d):
     return _gram(spark, d, models.degree_two(models.FEATURES))
 
 
-@query("ols", f"WITH {MODEL} SELECT round(regr_intercept(label, ofi), 8) AS intercept, round(regr_slope(label, ofi), 8) AS slope FROM rows_")
-def ols(spark, d):
-    w = models.fit(_model_rows(spark, d), models.Config("ols"), ("ofi",), "label").weights
-    return spark.createDataFrame([(round(w[0], 8), round(w[1], 8))], "intercept double, slope double")
+def _two(alpha: float) -> str:
+    """Both coefficients of a fit on two features, by Cramer's rule."""
+    return f"""WITH {MODEL}, s AS (SELECT avg(label) AS my, avg(imb_top) AS m1, avg(ofi) AS m2, var_pop(imb_top) * count(*) + {alpha} AS a11, var_pop(ofi) * count(*) + {alpha} AS a22,
+  covar_pop(imb_top, ofi) * count(*) AS a12, covar_pop(label, imb_top) * count(*) AS b1, covar_pop(label, ofi) * count(*) AS b2 FROM rows_),
+w AS (SELECT *, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) AS w1, (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) AS w2 FROM s)
+SELECT round(my - w1 * m1 - w2 * m2, 8) AS intercept, round(w1, 8) AS w1, round(w2, 8) AS w2 FROM w"""
 
 
-@query("ridge", f"WITH {MODEL}, s AS (SELECT covar_pop(label, ofi) * count(*) / (var_pop(ofi) * count(*) + 10) AS slope, avg(label) AS my, avg(ofi) AS mx FROM rows_) SELECT round(my - slope * mx, 8) AS intercept, round(slope, 8) AS slope FROM s")
-def ridge(spark, d):
-    w = models.fit(_model_rows(spark, d), models.Config("ridge", 10.0), ("ofi",), "label").weights
-    return spark.createDataFrame([(round(w[0], 8), round(w[1], 8))], "intercept double, slope double")
+for _name, _config in (("ols", models.Config("ols")), ("ridge", models.Config("ridge", 10.0))):
+
+    @query(_name, _two(_config.alpha))
+    def _fit_two(spark, d, config=_config):
+        w = models.fit(_model_rows(spark, d), config, ("imb_top", "ofi"), "label").weights
+        return spark.createDataFrame([tuple(round(x, 8) for x in w)], "intercept double, w1 double, w2 double")
 
 
 @query("elastic_net", f"""WITH {MODEL}, s AS (SELECT covar_pop(label, ofi) AS c, var_pop(ofi) AS v, avg(label) AS my, avg(ofi) AS mx FROM rows_), w AS (SELECT *, sign(c) * greatest(abs(c) - 1e-6 * 0.5, 0) / (v + 1e-6 * 0.5) AS slope FROM s)
@@ -426,16 +430,28 @@ def alignment(spark, d):
     return models.aligned(frame, table)
 
 
-# The simulator: predictions near the mid, scattered by the row's number.
-SIM = f"""{SCAN}, sim AS (SELECT day, etime, CAST(round(bid_price * 10) AS BIGINT) AS bid, CAST(round(ask_price * 10) AS BIGINT) AS ask, mid * (1 + CAST(decision_seq % 11 - 5 AS DOUBLE) / 100) AS pred, row_number() OVER (ORDER BY etime) AS rn FROM decisions WHERE mid IS NOT NULL),
-trig AS (SELECT *, s // 10000000 > ask + x AS up, -((-s) // 10000000) < bid - x AS down FROM (SELECT *, CAST(round_even(pred * 1e8, 0) AS BIGINT) AS s, (bid + ask) * 5 // 20000 AS x FROM sim) WHERE true),
-fixed AS (SELECT * REPLACE (CASE WHEN s % 10000000 = 0 THEN s // 10000000 ELSE s // 10000000 + 1 END < bid - x AS down) FROM trig)"""
-WALK = f"""RECURSIVE {SIM}, walk AS (
+# The simulator, with a prediction and a threshold.
+def sim(base: str, rows: str, pred: str, x_bps: int) -> str:
+    return f"""{base}, sim AS (SELECT day, etime, CAST(round(bid_price * 10) AS BIGINT) AS bid, CAST(round(ask_price * 10) AS BIGINT) AS ask, {pred} AS pred, row_number() OVER (ORDER BY etime) AS rn FROM {rows}),
+trig AS (SELECT *, s // 10000000 > ask + x AS up FROM (SELECT *, CAST(round_even(pred * 1e8, 0) AS BIGINT) AS s, (bid + ask) * {x_bps} // 20000 AS x FROM sim)),
+fixed AS (SELECT *, CASE WHEN s % 10000000 = 0 THEN s // 10000000 ELSE s // 10000000 + 1 END < bid - x AS down FROM trig)"""
+
+
+def walk(base: str, rows: str, pred: str, x_bps: int) -> str:
+    """Every row's position by one step after another, and the fills."""
+    return f"""RECURSIVE {sim(base, rows, pred, x_bps)}, walk AS (
   SELECT rn, CASE WHEN up THEN 1 WHEN down THEN -1 ELSE 0 END AS position FROM fixed WHERE rn = 1
   UNION ALL SELECT f.rn, CASE WHEN w.position = 0 THEN CASE WHEN up THEN 1 WHEN down THEN -1 ELSE 0 END WHEN w.position > 0 THEN CASE WHEN down THEN -1 ELSE 1 END ELSE CASE WHEN up THEN 1 ELSE -1 END END
   FROM walk w JOIN fixed f ON f.rn = w.rn + 1),
 pos AS (SELECT f.*, position, position <> coalesce(lag(position) OVER (ORDER BY rn), 0) AS filled FROM fixed f JOIN walk USING (rn)),
-fills AS (SELECT *, 10000000000000::HUGEINT * 100000000 // (price * 10000000::HUGEINT) // 100000 * 100000 AS qty, lead(price) OVER (ORDER BY rn) AS next_price FROM (SELECT *, CASE WHEN position > 0 THEN ask ELSE bid END AS price FROM pos WHERE filled))"""
+fills AS (SELECT *, 10000000000::HUGEINT * 100000000 // (price * 10000000::HUGEINT) // 100000 * 100000 AS qty, lead(price) OVER (ORDER BY rn) AS next_price FROM (SELECT *, CASE WHEN position > 0 THEN ask ELSE bid END AS price FROM pos WHERE filled))"""
+
+
+#: Predictions near the mid, scattered by the row's number.
+SCATTERED = (SCAN, "decisions WHERE mid IS NOT NULL", "mid * (1 + CAST(decision_seq % 11 - 5 AS DOUBLE) / 100)", 5)
+SIM, WALK = sim(*SCATTERED), walk(*SCATTERED)
+EQUITY = f"""{WALK}, won AS (SELECT rn, price, position, qty, coalesce(sum(w) OVER (ORDER BY rn), 0) AS realised FROM (SELECT *, lag(position) OVER o * (price - lag(price) OVER o) * lag(qty) OVER o AS w FROM fills WINDOW o AS (ORDER BY rn))),
+eq AS (SELECT p.day, p.etime, p.position, CAST(coalesce(w.realised, 0) + coalesce(w.position * (CASE WHEN w.position > 0 THEN p.bid ELSE p.ask END - w.price) * w.qty, 0) AS BIGINT) AS equity FROM pos p ASOF LEFT JOIN won w ON p.rn >= w.rn)"""
 
 
 def _sim_rows(spark, d):
@@ -456,6 +472,13 @@ def triggers(spark, d):
     return simulate.triggers(simulate.arrays(_sim_rows(spark, d)), 5).select("etime", "go_long", "go_short")
 
 
+@query("sim_refusals", f"WITH {SCAN} SELECT min(etime) AS first_bad, count(*) AS bad_rows FROM decisions WHERE mid IS NOT NULL AND (decision_seq % 17 = 0 OR decision_seq % 19 = 0 OR decision_seq % 23 = 0)")
+def sim_refusals(spark, d):
+    k, pred = F.col("decision_seq"), F.col("pred")
+    odd = F.when(k % 17 == 0, -pred).when(k % 19 == 0, float("nan")).when(k % 23 == 0, None).otherwise(pred)
+    return simulate.refusals(simulate.arrays(_sim_rows(spark, d).withColumn("pred", odd)))
+
+
 @query("position", f"WITH {WALK} SELECT etime, position FROM pos")
 def position(spark, d):
     return _simulated(spark, d)[0].select("etime", "position")
@@ -466,8 +489,7 @@ def trade_log(spark, d):
     return _simulated(spark, d)[1].select("etime", "side", "price_ticks", "qty_scaled", "position_after")
 
 
-@query("equity", f"""WITH {WALK}, won AS (SELECT rn, price, position, qty, coalesce(sum(w) OVER (ORDER BY rn), 0) AS realised FROM (SELECT *, lag(position) OVER o * (price - lag(price) OVER o) * lag(qty) OVER o AS w FROM fills WINDOW o AS (ORDER BY rn)))
-SELECT p.etime, p.position, CAST(coalesce(w.realised, 0) + coalesce(w.position * (CASE WHEN w.position > 0 THEN p.bid ELSE p.ask END - w.price) * w.qty, 0) AS BIGINT) AS equity FROM pos p ASOF LEFT JOIN won w ON p.rn >= w.rn""")
+@query("equity", f"WITH {EQUITY} SELECT etime, position, equity FROM eq")
 def equity(spark, d):
     return simulate.equity(*_simulated(spark, d)).select("etime", "position", "equity")
 
@@ -477,12 +499,13 @@ def closed_pnl(spark, d):
     return simulate.closed_pnl(_simulated(spark, d)[1])
 
 
-@query("daily_sharpe")
+@query("daily_sharpe", f"""WITH {EQUITY}, e AS (SELECT day, max_by(equity, etime) AS e FROM eq GROUP BY day), p AS (SELECT CAST(e - coalesce(lag(e) OVER (ORDER BY day), 0) AS DOUBLE) AS pnl FROM e)
+SELECT count(*) AS days, CASE WHEN count(*) >= 5 AND stddev_samp(pnl) > 0 THEN round(avg(pnl) / stddev_samp(pnl) * sqrt(365.0), 8) END AS sharpe FROM p""")
 def daily_sharpe(spark, d):
-    return simulate.daily_sharpe(simulate.equity(*_simulated(spark, d)), 5)
+    return simulate.daily_sharpe(simulate.equity(*_simulated(spark, d)), 5).select("days", F.round("sharpe", 8).alias("sharpe"))
 
 
-@query("ceiling")
+@query("ceiling", f"WITH {walk(LABELS + ', ' + labelled(H2), 'labelled WHERE label IS NOT NULL', 'mid * (1 + label)', 0)} SELECT count(*) AS trades, CAST(coalesce(sum(position * (next_price - price)), 0) AS BIGINT) AS pnl_ticks FROM fills")
 def ceiling(spark, d):
     return simulate.ceiling(_labelled(spark, d, H2), "label")
 
@@ -529,9 +552,9 @@ def dq_placeholder(spark, d):
     return quality.placeholder_rate(placeholder_counts(spark, d)).select("day", "status", F.round("value", 9).alias("value"), "count")
 
 
-@query("dq_probable_loss", f"WITH {src.SQL}, s AS (SELECT day, id - lag(id) OVER w - 1 AS skip, etime - lag(etime) OVER w AS span FROM trades WINDOW w AS (PARTITION BY day ORDER BY id)) SELECT day, CAST(max(skip) FILTER (skip > 10 AND span > {HOUR}) AS DOUBLE) AS value, count(*) FILTER (skip > 10 AND span > {HOUR}) AS count FROM s GROUP BY day")
+@query("dq_probable_loss", f"WITH {src.SQL}, s AS (SELECT day, id - lag(id) OVER w - 1 AS skip, etime - lag(etime) OVER w AS span FROM trades WINDOW w AS (PARTITION BY day ORDER BY id)) SELECT day, CASE WHEN count(skip) = 0 THEN 'n/a' ELSE 'ok' END AS status, CAST(max(skip) FILTER (skip > 10 AND span > {HOUR}) AS DOUBLE) AS value, count(*) FILTER (skip > 10 AND span > {HOUR}) AS count, 'largest skip ' || max(skip) || ', longest step ' || max(span) AS detail FROM s GROUP BY day")
 def dq_probable_loss(spark, d):
-    return quality.probable_loss(_trades(spark, d), "id", 10, HOUR).select("day", "value", "count")
+    return quality.probable_loss(_trades(spark, d), "id", 10, HOUR).select("day", "status", "value", "count", "detail")
 
 
 @query("dq_crossed", f"WITH {src.SQL} SELECT day, 'ok' AS status, count(*) FILTER (bid_price >= ask_price) AS count FROM quotes GROUP BY day")
@@ -558,13 +581,12 @@ def dq_rtime(spark, d):
     return quality.plausible_receive_times(_trades(spark, d), "trade", F.lit("capture"), (D2 + 1) * DAY).select("day", "status", "value")
 
 
-@query("dq_feature", f"""WITH {LABELS}, {labelled(H1)}, s AS (SELECT day, count(*) AS n, count(reason) AS nulls, count(*) FILTER (label = 0) AS zeros, count(*) FILTER (warmup) AS warm FROM labelled GROUP BY day)
-SELECT day, 'feature_label_coverage' AS "check", CASE WHEN 100.0 * nulls / n > 2 THEN 'degraded' ELSE 'ok' END AS status, nulls AS count FROM s UNION ALL SELECT day, 'feature_quantization', 'ok', zeros FROM s UNION ALL SELECT day, 'feature_warmup', 'ok', warm FROM s""")
+@query("dq_feature", f"""WITH {LABELS}, {labelled(H1)}, s AS (SELECT day, count(*) AS n, count(reason) AS nulls, count(*) FILTER (label = 0) AS zeros, count(*) FILTER (warmup) AS warm, count(*) FILTER (mid IS NULL) AS bare, count(*) FILTER (decision_seq % 97 = 0) AS odd, count(*) FILTER (reason = 'null_gap') AS lost FROM labelled GROUP BY day)
+SELECT day, 'feature_label_coverage' AS "check", CASE WHEN 100.0 * nulls / n > 2 THEN 'degraded' ELSE 'ok' END AS status, nulls AS count FROM s UNION ALL SELECT day, 'feature_quantization', 'ok', zeros FROM s UNION ALL SELECT day, 'feature_warmup', 'ok', warm FROM s UNION ALL SELECT day, 'feature_row_filters', 'ok', bare FROM s UNION ALL SELECT day, 'feature_window', CASE WHEN odd > 0 THEN 'failed' ELSE 'ok' END, odd FROM s UNION ALL SELECT day, 'feature_asof_convention', 'ok', lost FROM s""")
 def dq_feature(spark, d):
-    zero = F.lit(0).cast("long")
-    stats = _labelled(spark, d, H1).groupBy("day").agg(F.count("*").alias("rows"), zero.alias("dropped"), F.count("reason").alias("null_labels"), F.count_if(F.coalesce(F.col("label") == 0, F.lit(False))).alias("zero_labels"), F.count_if("warmup").alias("warmup_rows"), F.lit(True).alias("sidecar"), zero.alias("overflow"), F.count("*").alias("compared"), zero.alias("disagreeing"))
-    out = quality.feature_checks(stats)
-    return out.where(F.col("check").isin("feature_label_coverage", "feature_quantization", "feature_warmup")).select("day", "check", "status", "count")
+    gap = F.coalesce(F.col("reason") == "null_gap", F.lit(False))
+    stats = _labelled(spark, d, H1).groupBy("day").agg(F.count("*").alias("rows"), F.count_if(F.col("mid").isNull()).alias("dropped"), F.count("reason").alias("null_labels"), F.count_if(F.coalesce(F.col("label") == 0, F.lit(False))).alias("zero_labels"), F.count_if("warmup").alias("warmup_rows"), F.lit(True).alias("sidecar"), F.count_if(F.col("decision_seq") % 97 == 0).alias("overflow"), F.count("*").alias("compared"), F.count_if(gap).alias("disagreeing"))
+    return quality.feature_checks(stats).select("day", "check", "status", "count")
 
 
 @query("dq_verdict", f"WITH {SPARSE} SELECT day, stream, status AS verdict FROM sparse UNION ALL SELECT day, 'trade', CASE WHEN 100.0 * count(*) FILTER (exec_type = 'NA') / count(*) > 2 THEN 'degraded' ELSE 'ok' END FROM trades GROUP BY day")
@@ -582,9 +604,17 @@ def _captured(spark, d):
     return t.select(F.lit(0).alias("conn_id"), "id", "day", "rtime").union(t.where("id % 3 <> 0").select(F.lit(1).alias("conn_id"), "id", "day", F.col("rtime") + F.col("id") % 7 * 100 * SECOND))
 
 
-@query("dedup_ttl", f"WITH {CAPTURE} SELECT conn_id, id, rtime FROM cap WHERE conn_id = 0 OR id % 7 > 1")
+#: Up to five deliveries of an id, 0 to 600 s apart: chains in which each is close to the one before it.
+CHAINS = f"""{CAPTURE}, chain AS (SELECT * FROM cap UNION ALL SELECT 2, id, day, rtime + {200 * SECOND} FROM trades WHERE id % 2 = 0 UNION ALL SELECT 3, id, day, rtime + {300 * SECOND} FROM trades WHERE id % 5 < 3
+  UNION ALL SELECT 4, id, day, rtime + {110 * SECOND} FROM trades WHERE id % 4 = 1), k1 AS (SELECT id, min(rtime) AS t FROM chain GROUP BY id)""" + "".join(f", k{n + 1} AS (SELECT id, min(rtime) AS t FROM chain JOIN k{n} USING (id) WHERE rtime > t + {120 * SECOND} GROUP BY id)" for n in range(1, 5))
+
+
+@query("dedup_ttl", f"WITH {CHAINS}, kept AS ({' UNION ALL '.join(f'SELECT * FROM k{n}' for n in range(1, 6))}) SELECT min(conn_id) AS conn_id, id, rtime FROM chain JOIN kept USING (id) WHERE rtime = t GROUP BY id, rtime")
 def dedup_ttl(spark, d):
-    return capture.first_deliveries(_captured(spark, d), ["id"]).select("conn_id", "id", "rtime")
+    t, rows = _trades(spark, d), _captured(spark, d)
+    for conn, some, late in ((2, "id % 2 = 0", 200), (3, "id % 5 < 3", 300), (4, "id % 4 = 1", 110)):
+        rows = rows.union(t.where(some).select(F.lit(conn).alias("conn_id"), "id", "day", F.col("rtime") + late * SECOND))
+    return capture.first_deliveries(rows, ["id"]).select("conn_id", "id", "rtime")
 
 
 @query("gap_merged", f"WITH {CAPTURE} SELECT prev AS gap_start_rtime, rtime AS gap_end_rtime FROM (SELECT rtime, lag(rtime) OVER (ORDER BY rtime, conn_id) AS prev FROM cap) WHERE rtime - prev > {HOUR}")
@@ -647,9 +677,9 @@ def pricing_summary(spark, d):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def customers_without_orders(spark, d):
-    o = src.table(spark, d, "orders").select("o_custkey")
+    o = src.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
     c = src.table(spark, d, "customer")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 

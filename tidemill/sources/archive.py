@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.clock import DAY, date_string, ms_to_ns
+from tidemill.functions.clock import DAY, HOUR, date_string, ms_to_ns
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def ingested(raw: DataFrame, write: Callable[[DataFrame], None]) -> tuple[int, i
 def write_days(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder a (symbol, stream, date); rows of a day are dealt over several tasks before they are written."""
     out = rows.withColumn("date", date_string(F.col("etime")))
-    out.repartition("symbol", "stream", "date").write.partitionBy("symbol", "stream", "date").option("compression", "zstd").mode(mode).parquet(path)
+    out.repartition("symbol", "stream", "date", F.floor(F.col("etime") / HOUR)).write.partitionBy("symbol", "stream", "date").option("compression", "zstd").mode(mode).parquet(path)
 
 
 def read_days(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -97,10 +97,16 @@ def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark names it: parts of different days may have one base name."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def verified(spark: SparkSession, expected: dict[str, str], columns: list[str] | None = None) -> DataFrame:
     """Rows of Parquet files whose bytes have the expected digests; raises if one differs."""
-    found = {r["path"].rsplit("/", 1)[-1]: r["sha256"] for r in file_digests(spark, list(expected)).collect()}  # a row a file
-    wrong = [p for p, d in expected.items() if found.get(p.rsplit("/", 1)[-1]) != d]
+    found = {r["path"]: r["sha256"] for r in file_digests(spark, list(expected)).collect()}  # a row a file
+    wrong = [p for p, d in expected.items() if found.get(qualified(spark, p)) != d]
     if wrong:
         raise ValueError(f"digests differ: {wrong}")
     out = spark.read.parquet(*expected)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,76 @@ def archive(frames_: DataFrame, path: str, checkpoint: str, trigger: dict[str, A
     return out.writeStream.format("json").partitionBy("date", "conn_id").option("path", path).option("compression", "gzip").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
-def deduplicated(rows: DataFrame, key: list[str], ttl: str = "120 seconds") -> DataFrame:
-    """The first delivery of each key, remembered until the watermark (the most recent receive time less ttl) has passed it."""
-    stamped = rows.withColumn("_at", F.timestamp_micros((F.col("rtime") / 1000).cast("long")))
-    return stamped.withWatermark("_at", ttl).dropDuplicatesWithinWatermark(key).drop("_at")
+def deduplicated(rows: DataFrame, key: list[str], ttl: int = 120 * SECOND) -> DataFrame:
+    """The rows that operators.capture.first_deliveries keeps: state is the time of a key's last kept row, forgotten when the watermark has passed it by ttl."""
+
+    def step(_key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frame = pd.concat(list(parts)).sort_values(["rtime", "conn_id"], kind="stable")
+        last, kept = state.get[0] if state.exists else None, []
+        for k, t in enumerate(frame["rtime"].tolist()):
+            if last is None or t - last > ttl:
+                kept.append(k)
+                last = t
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl) // 10**6 + 1, state.getCurrentWatermarkMs() + 1))
+        yield frame.iloc[kept][["row"]]
+
+    kind = rows.schema
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
+    packed = rows.select(*keys, "rtime", "conn_id", F.timestamp_micros((F.col("rtime") / 1000).cast("long")).alias("_at"), F.to_json(F.struct(*rows.columns)).alias("row"))
+    packed = packed.withWatermark("_at", f"{ttl // SECOND} seconds").groupBy(*(f"_k{i}" for i in range(len(key))))
+    out = packed.applyInPandasWithState(step, "row string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.from_json("row", kind).alias("r")).select("r.*")
+
+
+def ledger(rows: DataFrame, threshold: int = 5 * SECOND, by: str = "symbol") -> DataFrame:
+    """(symbol, cause, conn_id, gap_start_rtime, gap_end_rtime, missing) of rows (symbol, conn_id, rtime, id) in order of arrival.
+
+    The rules of operators.capture: no row on any connection for longer than the threshold is merged-silent; one connection
+    alone is connection-silent, and a merged gap takes precedence; an id more than one above the largest before it is an id-skip. A
+    symbol is a group of its own; its state is the last time of each connection and the largest id.
+    """
+    out = f"{by} string, cause string, conn_id int, gap_start_rtime long, gap_end_rtime long, missing long"
+    names = [by, "cause", "conn_id", "gap_start_rtime", "gap_end_rtime", "missing"]
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(parts)).sort_values(["rtime", "conn_id", "id"], kind="stable")
+        conns, lasts, most = state.get if state.exists else ([], [], None)
+        last = dict(zip(conns, lasts, strict=True))
+        t, conn, ids = frame["rtime"].to_numpy(), frame["conn_id"].to_numpy(), frame["id"].astype("Int64")
+        low = np.iinfo(np.int64).min
+        anyone = np.maximum.accumulate(np.concatenate(([max(last.values(), default=low)], t)))[:-1]
+        own = np.full(len(t), low)
+        for c in np.unique(conn).tolist():
+            at = np.flatnonzero(conn == c)
+            own[at] = np.maximum.accumulate(np.concatenate(([last.get(c, low)], t[at])))[:-1]
+            last[c] = max(last.get(c, low), int(t[at].max()))
+        merged = (anyone > low) & (t - np.where(anyone > low, anyone, t) > threshold)
+        alone = (own > low) & ~merged & (t - np.where(own > low, own, t) > threshold)
+        known = np.flatnonzero(ids.notna().to_numpy())
+        number = ids.iloc[known].to_numpy(dtype=np.int64)
+        prior = np.maximum.accumulate(np.concatenate(([low if most is None else most], number)))[:-1]
+        skip = (prior > low) & (number - np.where(prior > low, prior, number) > 1)
+        found = [(key[0], "merged-silent", None, int(a), int(b), None) for a, b in zip(anyone[merged], t[merged], strict=True)]
+        found += [(key[0], "connection-silent", int(c), int(a), int(b), None) for c, a, b in zip(conn[alone], own[alone], t[alone], strict=True)]
+        before = np.where(anyone > low, anyone, t)[known]
+        found += [(key[0], "id-skip", None, int(a), int(b), int(n)) for a, b, n in zip(before[skip], t[known][skip], (number - prior - 1)[skip], strict=True)]
+        if len(number):
+            most = max(int(number.max()), low if most is None else most)
+        state.update((list(last), [last[c] for c in last], most))
+        yield pd.DataFrame(found, columns=names).astype({"conn_id": "Int32", "gap_start_rtime": "int64", "gap_end_rtime": "int64", "missing": "Int64"})
+
+    some = rows.select(by, "conn_id", "rtime", "id")
+    return some.groupBy(by).applyInPandasWithState(step, out, "conns array<int>, lasts array<long>, most long", "append", GroupStateTimeout.NoTimeout)
+
+
+def to_ledger(found: DataFrame, path: str, checkpoint: str, trigger: dict[str, Any] | None = None) -> StreamingQuery:
+    """Appends gaps as Parquet by the date on which they end."""
+    out = found.withColumn("date", date_string(F.col("gap_end_rtime")))
+    return out.writeStream.format("parquet").partitionBy("date").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
 def gaps(rows: DataFrame, threshold: int = 5 * SECOND) -> DataFrame:
