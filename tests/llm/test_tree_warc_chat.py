@@ -56,6 +56,50 @@ def test_best_bin_first_visits_every_leaf_once():
     assert sorted(order) == list(range(len(tree.leaf))) and order[0] == tree.leaves_of(x[3:4])[0]
 
 
+def test_repeated_rows_count_once_and_other_vectors_of_an_id_are_their_own(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[0], rows[0], rows[11], rows[11], (0, x[39].tolist())]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in vt.nearest(d).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 12)))
+
+    def wanted(q, own):
+        s = x @ q / (np.linalg.norm(x, axis=1) * np.linalg.norm(q))
+        found = [(round(-v, 12), i) for i, v in enumerate(s) if not (i == own[0] and own[1] == i)] + [(round(-s[39], 12), 0)]
+        if own[1] == 39:
+            found.remove((round(-s[39], 12), 0))
+        return [(i, -v) for v, i in sorted(found)[:5]]
+
+    assert list(got) == [0] and len(got[0]) == 10
+    both = sorted([(n + 1, *w) for o in (0, 39) for n, w in enumerate(wanted(x[o], (0, o)))])
+    assert sorted(got[0]) == both
+
+
+@pytest.mark.parametrize("rows", [60, 100_000])
+def test_leaves_grow_with_the_table(spark, monkeypatch, rows):
+    """Recall against brute force over all rows, with leaves that the executors split and without."""
+    monkeypatch.setattr(vt, "ROWS", rows)
+    monkeypatch.setattr(vt, "CHUNK", 3)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8)) + 2 * rng.normal(size=(30, 8))[rng.integers(0, 30, 3000)]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    leaves, before = [], vt.calibrated
+    monkeypatch.setattr(vt, "calibrated", lambda tree, *a: (leaves.append(len(tree.leaf)), before(tree, *a))[1])
+    got = {}
+    for r in vt.nearest(d, rows=500).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert (leaves[0] > 60) == (rows == 60)
+    unit, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, 3000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & got[q])
+    assert hits >= 0.9 * 5 * 60
+
+
 def pages(spark, n=400):
     rows = [(i, f"http://h/{i}", f"<p>{i} ü\r\n\r\n</p>" if i % 9 else None) for i in range(-20, n)] + [(3, "http://h/3", "again"), (None, "u", "h"), (7, None, "x")]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
