@@ -163,3 +163,9 @@ def test_turns_come_back_byte_for_byte(spark, odd_texts):
 def test_no_conversations(spark):
     d = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert cf.digests(cf.formatted(d)).count() == 0
+
+
+def test_urls_with_line_breaks_are_read_back(spark):
+    urls = ["http://h/a", "http://h/a%0Db", "http://h/a\rb", "x\r\nContent-Length: 3\r\n\r\n%25%0A", "", "tail\n"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "concat('<p>', url) as html")
+    assert sorted(map(tuple, wf.parsed(wf.records(d)).collect())) == [(i, u, f"<p>{u}") for i, u in enumerate(urls)]

@@ -19,13 +19,20 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import read, saved
 
 FANOUT = 32
+#: What an encoded url writes for the characters that would break its line, the percent sign first.
+BREAKS = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
-    """The bytes of a page's WARC record, as text."""
-    html = F.coalesce(html, F.lit(""))
+    """The bytes of a page's WARC record, as text. A url that would break its header line stands in one of its own, percent-encoded."""
+    html, url = F.coalesce(html, F.lit("")), F.coalesce(url, F.lit(""))
+    encoded = url
+    for c, code in BREAKS:
+        encoded = F.replace(encoded, F.lit(c), F.lit(code))
+    odd = F.contains(url, F.lit("\r")) | F.contains(url, F.lit("\n"))
+    target = F.when(odd, F.concat(F.lit("-Encoded: "), encoded)).otherwise(F.concat(F.lit(": "), url))
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), page_id.cast("string"), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), page_id.cast("string"), F.lit(">\r\nWARC-Target-URI"), target,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(head, html, F.lit("\r\n\r\n"))
@@ -43,7 +50,11 @@ def parsed(archive: DataFrame) -> DataFrame:
     head = F.substring_index(r, "\r\n\r\n", 1)
     size = F.regexp_extract(head, "Content-Length: ([0-9]+)", 1).cast("int")
     body = F.substring(F.encode(r, "utf-8"), F.octet_length(head) + 5, size).cast("string")
-    return archive.select(F.regexp_extract(head, "<urn:page:(-?[0-9]+)>", 1).cast("long").alias("page_id"), F.regexp_extract(head, "WARC-Target-URI: ([^\r]*)", 1).alias("url"), body.alias("html"))
+    decoded = F.regexp_extract(head, "WARC-Target-URI-Encoded: ([^\r]*)", 1)
+    for c, code in reversed(BREAKS):
+        decoded = F.replace(decoded, F.lit(code), F.lit(c))
+    url = F.when(F.contains(head, F.lit("\r\nWARC-Target-URI-Encoded: ")), decoded).otherwise(F.regexp_extract(head, "WARC-Target-URI: ([^\r]*)", 1))
+    return archive.select(F.regexp_extract(head, "<urn:page:(-?[0-9]+)>", 1).cast("long").alias("page_id"), url.alias("url"), body.alias("html"))
 
 
 def tree(archive: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
