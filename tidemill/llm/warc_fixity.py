@@ -48,7 +48,7 @@ def parsed(archive: DataFrame) -> DataFrame:
     """(page_id, url, html) read back from records."""
     r = F.col("record")
     head = F.substring_index(r, "\r\n\r\n", 1)
-    size = F.regexp_extract(head, "Content-Length: ([0-9]+)", 1).cast("int")
+    size = F.regexp_extract(head, "\r\nContent-Length: ([0-9]+)", 1).cast("int")
     body = F.substring(F.encode(r, "utf-8"), F.octet_length(head) + 5, size).cast("string")
     decoded = F.regexp_extract(head, "WARC-Target-URI-Encoded: ([^\r]*)", 1)
     for c, code in reversed(BREAKS):
