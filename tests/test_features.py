@@ -155,3 +155,21 @@ def test_asof_with_ties(spark, strict, forward):
             want = max(fit)[2] if fit else None
         assert row["v"] == want, row
     assert got.count() == 50
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_state_goes_over_buckets_of_a_day(spark, monkeypatch, seed):
+    """Buckets of two windows: books, order flow, trailing sums and warm-up go on from one to the next."""
+    monkeypatch.setattr(features, "HOUR", 2 * W)
+    events = stream(seed, 120)
+    assert len({e[1] // (2 * W) for e in events}) > 5
+    assert decided(spark, events) == walked(events)
+
+
+def test_symbols_do_not_mix(spark):
+    one, two = stream(1), stream(2)
+    both = spark.createDataFrame([("a", *e) for e in one] + [("b", *e) for e in two], "symbol string, " + Q)
+    got = features.decisions(both, W)
+    for symbol, events in (("a", one), ("b", two)):
+        rows = got.where(f"symbol = '{symbol}'").select("day", "etime", "decision_seq", "mid", "imb_top", "ofi", "trade_flow", "warmup").collect()
+        assert sorted(map(tuple, rows)) == walked(events)
