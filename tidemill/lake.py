@@ -123,14 +123,20 @@ class Registry:
         return body["cells"]
 
     def quarantine(self, dataset: str, date_: str, root: str, reason: str) -> dict:
-        """Moves a date's partition into the lockbox tier and issues its manifest there; the old manifest can no longer be loaded."""
+        """Moves a date's partition into the lockbox tier; the old manifest can no longer be loaded.
+
+        The manifest is issued first: after a crash the bytes are still where one of the two manifests says, and calling again moves the rest.
+        """
         body = self.of_date(dataset, date_)
         entries = [p for p in body["partitions"] if p["date"] == date_]
         moved = [p | {"path": "lockbox/" + p["path"].split("/", 1)[1]} for p in entries]
+        known = self.of_date(f"{dataset}-lockbox", date_)
+        boxed = known or self.issue(f"{dataset}-lockbox", "lockbox", body["schema_version"], [body["manifest_id"], reason], moved, body["code"])
         for old, new in zip(entries, moved, strict=True):
             os.makedirs(os.path.dirname(f"{root}/{new['path']}"), exist_ok=True)
-            os.rename(f"{root}/{old['path']}", f"{root}/{new['path']}")
-        return self.issue(f"{dataset}-lockbox", "lockbox", body["schema_version"], [body["manifest_id"], reason], moved, body["code"])
+            if os.path.exists(f"{root}/{old['path']}"):
+                os.rename(f"{root}/{old['path']}", f"{root}/{new['path']}")
+        return boxed
 
     def acknowledge(self, dataset: str, date: str, findings: list[str], by: str) -> None:
         write_new(self.root / "acknowledged" / dataset / f"{date}.json", json.dumps({"findings": sorted(findings), "by": by, "at": self.clock()}))
@@ -207,13 +213,39 @@ class Registry:
         self._append("runs", tags)
 
 
+def _digests(spark: SparkSession, root: str, paths: list[str]) -> dict[str, str]:
+    """Partition to a digest over its files' digests, for all partitions in one job."""
+    from tidemill.sources.archive import file_digests, qualified
+
+    names = {qualified(spark, f"{root}/{p}"): p for p in paths}
+    files: dict[str, list] = {p: [] for p in paths}
+    for r in file_digests(spark, [f"{root}/{p}" for p in paths]).collect():  # a row a file
+        folder, name = r["path"].rsplit("/", 1)
+        if folder in names:
+            files[names[folder]].append((name, r["sha256"]))
+    return {p: hashlib.sha256(json.dumps(sorted(found)).encode()).hexdigest() for p, found in files.items()}
+
+
+def entries(spark: SparkSession, root: str, dates: dict[str, str]) -> list[dict]:
+    """What a manifest says of written partitions (path to date): digest, rows and times, in two jobs for all of them."""
+    from tidemill.sources.archive import qualified
+
+    found = _digests(spark, root, list(dates))
+    names = {qualified(spark, f"{root}/{p}"): p for p in dates}
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    rows = spark.read.parquet(*(f"{root}/{p}" for p in dates)).select(folder.alias("_folder"), "etime").groupBy("_folder").agg(F.count("*").alias("n"), F.min("etime").alias("low"), F.max("etime").alias("high"))
+    stats = {names[qualified(spark, r["_folder"].replace("%3D", "="))]: r for r in rows.collect()}  # a row a partition
+    return [{"path": p, "sha256": found[p], "rows": stats[p]["n"], "etime_min": stats[p]["low"], "etime_max": stats[p]["high"], "date": d} for p, d in dates.items()]
+
+
 def partition_entry(spark: SparkSession, root: str, path: str, date: str) -> dict:
-    """What a manifest says of a written partition: a digest over its files' digests, rows and times."""
-    from tidemill.sources.archive import file_digests
+    return entries(spark, root, {path: date})[0]
+
 
-    files = sorted((r["path"].rsplit("/", 1)[-1], r["sha256"]) for r in file_digests(spark, [f"{root}/{path}"]).collect())  # a row a file
-    n, low, high = spark.read.parquet(f"{root}/{path}").agg(F.count("*"), F.min("etime"), F.max("etime")).first()
-    return {"path": path, "sha256": hashlib.sha256(json.dumps(files).encode()).hexdigest(), "rows": n, "etime_min": low, "etime_max": high, "date": date}
+def verify(spark: SparkSession, root: str, partitions: list[dict]) -> list[str]:
+    """The paths of partitions whose bytes are not those of their entries, found in one job."""
+    found = _digests(spark, root, [p["path"] for p in partitions]) if partitions else {}
+    return [p["path"] for p in partitions if found[p["path"]] != p["sha256"]]
 
 
 def load(spark: SparkSession, registry: Registry, root: str, dataset: str, manifest_id: str, tier: str, columns: list[str] | None = None, verdicts: dict | None = None) -> DataFrame:
@@ -222,9 +254,8 @@ def load(spark: SparkSession, registry: Registry, root: str, dataset: str, manif
     registry.assert_open([p["date"] for p in body["partitions"]])
     if verdicts is not None:
         registry.assert_quality(dataset, verdicts)
-    for p in body["partitions"]:
-        if partition_entry(spark, root, p["path"], p["date"])["sha256"] != p["sha256"]:
-            raise Refused(f"{p['path']} has changed")
+    if changed := verify(spark, root, body["partitions"]):
+        raise Refused(f"{changed} has changed")
     out = spark.read.parquet(*(f"{root}/{p['path']}" for p in body["partitions"]))
     return out.select(columns) if columns else out
 
