@@ -75,6 +75,13 @@ def with_sequence(rows: DataFrame, key: str, by: list[str], name: str = "seq") -
     return out.withColumn(name, (F.row_number().over(within(by, ["etime", key])) - 1).cast("long"))
 
 
+def resumed_sequence(rows: DataFrame, written: DataFrame, key: str, by: list[str], name: str = "seq") -> DataFrame:
+    """with_sequence, going on after the largest number that `written` has for each group."""
+    last = written.groupBy(*by).agg((F.max(name) + 1).alias("_next"))  # a row a group
+    out = with_sequence(rows, key, by, name).join(last, by, "left")
+    return out.withColumn(name, F.col(name) + F.coalesce("_next", F.lit(0))).drop("_next")
+
+
 def duplicate_keys(rows: DataFrame, key: str, by: str) -> DataFrame:
     return rows.groupBy(by).agg((F.count("*") - F.count_distinct(key)).alias("duplicates"))
 

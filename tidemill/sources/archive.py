@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import date, timedelta
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -116,7 +117,9 @@ def verified(spark: SparkSession, expected: dict[str, str], columns: list[str] |
 def row_count(spark: SparkSession, path: str) -> int:
     try:
         return spark.read.parquet(path).count()
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return 0
 
 
@@ -171,3 +174,80 @@ def backfill(days: list[str], existing: Callable[[str], int], load: Callable[[st
             write(rows, day)
             out[day] = "written"
     return out
+
+
+def resumed(open_at: Callable[[str, int], Iterator[bytes]], url: str, digest: str, path: Path, tries: int = 5) -> Path:
+    """Downloads a file of any size in pieces: open_at(url, n) gives what follows byte n.
+
+    Pieces are appended to a part file, so a broken transfer goes on where it stopped, in this call or a later one; the
+    file gets its name only after its digest is right, and a file that is there is not fetched again.
+    """
+    if path.exists():
+        return path
+    part = path.with_name(f"{path.name}.part")
+    part.parent.mkdir(parents=True, exist_ok=True)
+    for left in reversed(range(tries)):
+        try:
+            with part.open("ab") as f:
+                for piece in open_at(url, f.tell()):
+                    f.write(piece)
+            break
+        except OSError:
+            if not left:
+                raise
+    found = hashlib.sha256()
+    with part.open("rb") as f:
+        while piece := f.read(1 << 20):
+            found.update(piece)
+    if found.hexdigest() != digest:
+        part.unlink()
+        raise ValueError(f"the digest of {url} differs")
+    return part.rename(path)
+
+
+def days_written(spark: SparkSession, path: str, symbol: str, stream: str, days: list[int]) -> set[int]:
+    """The days whose folder is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    at = {d: p(f"{path}/symbol={symbol}/stream={stream}/date={(date(1970, 1, 1) + timedelta(days=d)).isoformat()}") for d in days}
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return {d for d, x in at.items() if fs.exists(x)}
+
+
+def ingest_span(rows: DataFrame, path: str, symbol: str, days: list[int], whole: bool = False) -> dict[int, str]:
+    """Writes the rows of the days that are not there yet in one job; a status a day: written, already_present or no_rows.
+
+    One scan counts rows by day. If the file is asked for as a whole, every row it has must belong to one of the days, or
+    rows would be lost: then nothing is written.
+    """
+    spark, day = rows.sparkSession, F.expr(f"etime div {DAY}L")
+    counts = {r["day"]: r["count"] for r in rows.groupBy(day.alias("day")).count().collect()}  # a row a day
+    if None in counts or whole and (astray := sorted(set(counts) - set(days))):
+        raise ValueError("rows without a day" if None in counts else f"rows of other days: {astray}")
+    there = days_written(spark, path, symbol, "trade", days)
+    todo = [d for d in days if d not in there and counts.get(d)]
+    if todo:
+        write_days(rows.where(day.isin(todo)), path, "append")
+        back = read_days(spark, path).where((F.col("symbol") == symbol) & day.isin(todo)).count()
+        if back != sum(counts[d] for d in todo):
+            raise ValueError(f"{back} rows were written of {sum(counts[d] for d in todo)}")
+    return {d: "already_present" if d in there else "written" if d in todo else "no_rows" for d in days}
+
+
+def backfill_months(first: int, last: int, month: Callable[[str, list[int]], DataFrame | None], day: Callable[[int], DataFrame | None], path: str, symbol: str) -> dict[int, str]:
+    """Ingests the days from first to last: months that lie inside by their monthly file, then what is left day by day.
+
+    month(year-month, days) and day(day) give normalised rows, or None where nothing is published.
+    """
+    of = lambda d: (date(1970, 1, 1) + timedelta(days=d)).isoformat()[:7]
+    days, out = list(range(first, last + 1)), {}
+    for name in sorted({of(d) for d in days}):
+        own = [d for d in days if of(d) == name]
+        complete = of(own[0] - 1) != name and of(own[-1] + 1) != name
+        rows = month(name, own) if complete else None
+        if rows is not None:
+            out |= ingest_span(rows, path, symbol, own, whole=True)
+    for d in days:
+        if out.get(d, "no_rows") == "no_rows":
+            rows = day(d)
+            out[d] = ingest_span(rows, path, symbol, [d])[d] if rows is not None else out.get(d, "no_rows")
+    return out
