@@ -511,15 +511,16 @@ def ceiling(spark, d):
 
 
 # Data quality.
-LEDGER = f"""{src.SQL}, ledger AS (SELECT rtime AS gap_start_rtime, rtime + (id % 11) * {HOUR} + 1 AS gap_end_rtime, CASE id % 3 WHEN 0 THEN 'merged-silent' WHEN 1 THEN 'merged-silent-late' ELSE 'connection-silent' END AS cause, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 2 END AS ledger_version FROM quotes WHERE id % 53 < 2),
+LEDGER = f"""{src.SQL}, ledger AS (SELECT rtime AS gap_start_rtime, rtime + CASE WHEN id % 499 = 0 THEN {5 * HOUR} ELSE (id % 11) * 100000000 END + 1 AS gap_end_rtime, CASE id % 3 WHEN 0 THEN 'merged-silent' WHEN 1 THEN 'merged-silent-late' ELSE 'connection-silent' END AS cause, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 2 END AS ledger_version FROM quotes),
 outages AS (SELECT gap_start_rtime AS s, max(gap_end_rtime) AS e FROM ledger WHERE ledger_version >= 2 AND cause LIKE 'merged-silent%' GROUP BY 1),
 cut AS (SELECT k AS day, greatest(s, k * {DAY}) AS s, least(e, (k + 1) * {DAY}) AS e FROM (SELECT s, e, unnest(range(s // {DAY}, (e - 1) // {DAY} + 1)) AS k FROM outages))"""
 
 
 def _ledger(spark, d):
-    q, i = _quotes(spark, d).where("id % 53 < 2"), F.col("id")
+    q, i = _quotes(spark, d), F.col("id")
+    long = F.when(i % 499 == 0, 5 * HOUR).otherwise(i % 11 * 100_000_000)
     cause = F.when(i % 3 == 0, "merged-silent").when(i % 3 == 1, "merged-silent-late").otherwise("connection-silent")
-    return q.select(F.col("rtime").alias("gap_start_rtime"), (F.col("rtime") + i % 11 * HOUR + 1).alias("gap_end_rtime"), cause.alias("cause"), F.when(i % 4 == 1, 1).when(i % 4 > 1, 2).alias("ledger_version"))
+    return q.select(F.col("rtime").alias("gap_start_rtime"), (F.col("rtime") + long + 1).alias("gap_end_rtime"), cause.alias("cause"), F.when(i % 4 == 1, 1).when(i % 4 > 1, 2).alias("ledger_version"))
 
 
 @query("dq_outages", f"WITH {LEDGER} SELECT s AS start, e AS \"end\" FROM outages")
