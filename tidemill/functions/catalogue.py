@@ -67,11 +67,11 @@ class Entry:
 
 
 def load(path: str | Path, keys: tuple[str, ...]) -> dict[str, Entry]:
-    """The entries of a TOML file; each must have just these keys, and a label's embargo must cover its horizon."""
+    """The entries of a TOML file; each must have these keys (others may stand beside them), and a label's embargo must cover its horizon."""
     out = {}
     for name, body in tomllib.loads(Path(path).read_text()).items():
-        if missing := set(keys) ^ set(body):
-            raise ValueError(f"{name}: keys missing or unknown: {sorted(missing)}")
+        if missing := set(keys) - set(body):
+            raise ValueError(f"{name}: keys missing: {sorted(missing)}")
         entry = Entry(name, body)
         if "embargo" in body and (embargo(body["embargo"]) < entry.sight.ahead or _duration(body["horizon"]) != entry.sight.ahead):
             raise ValueError(f"{name}: embargo and horizon do not fit what it has seen")
